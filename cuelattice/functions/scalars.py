@@ -8,8 +8,9 @@ from pyspark.sql import Column, functions as F
 
 
 def clip(x: Column, lo, hi) -> Column:
+    """Limit to a range; null stays null (``least`` and ``greatest`` alone would skip it)."""
     lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
-    return F.least(F.greatest(x, lo), hi)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
 
 
 def r6(x: Column) -> Column:

@@ -136,8 +136,8 @@ def periodic_cues(clips: DataFrame, keys: list[str], every_s: Column, leads: lis
     """Change points every ``every_s`` seconds and the cue blocks that lead each of them."""
     k = F.floor(F.col("duration") / every_s).cast("long")
     points = clips.withColumn("_k", k).filter("_k >= 1").withColumn(
-        "change", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))) * every_s
-    ).drop("_k").filter(F.col("change") < F.col("duration"))
+        "_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k")))
+    ).withColumn("change", F.col("_r") * every_s).drop("_k", "_r").filter(F.col("change") < F.col("duration"))
     cued = points.withColumn("lead", F.explode(F.array(*[F.lit(v) for v in leads])))
     start = F.greatest(F.rint((F.col("change") + F.col("lead")) * F.col("fps")), F.lit(0)).cast("long")
     length = F.greatest(F.rint(F.col("fps") / 6), F.lit(3)).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 QUERY_MODULES = (
+    "catalog_queries",
+    "plan_queries",
     "series_queries",
 )
 

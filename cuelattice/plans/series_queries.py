@@ -53,10 +53,10 @@ def follow_sql(name: str, cells: str, attack_ms: float, release_ms: float, cmp:
 def up_sql(name: str, src: str, env: str, out: str) -> str:
     """Rows of ``src`` with the cell values of ``env`` interpolated between cell centres."""
     return (
-        f"{name}_e AS MATERIALIZED (SELECT series_id, idx AS c, env, coalesce(lag(env) OVER w, env) AS eb, coalesce(lead(env) OVER w, env) AS ea "
+        f"{name}_e AS MATERIALIZED (SELECT series_id, idx AS c, env AS ev, coalesce(lag(env) OVER w, env) AS eb, coalesce(lead(env) OVER w, env) AS ea "
         f"FROM {env} WINDOW w AS (PARTITION BY series_id ORDER BY idx)), "
-        f"{name} AS MATERIALIZED (SELECT q.*, CASE WHEN q.idx / {SIZE}.0 - 0.5 - e.c < 0 THEN eb + (env - eb) * (q.idx / {SIZE}.0 + 0.5 - e.c) "
-        f"ELSE env + (ea - env) * (q.idx / {SIZE}.0 - 0.5 - e.c) END AS {out} FROM {src} q JOIN {name}_e e ON e.series_id = q.series_id AND e.c = q.idx // {SIZE})"
+        f"{name} AS MATERIALIZED (SELECT q.*, CASE WHEN q.idx / {SIZE}.0 - 0.5 - e.c < 0 THEN eb + (ev - eb) * (q.idx / {SIZE}.0 + 0.5 - e.c) "
+        f"ELSE ev + (ea - ev) * (q.idx / {SIZE}.0 - 0.5 - e.c) END AS {out} FROM {src} q JOIN {name}_e e ON e.series_id = q.series_id AND e.c = q.idx // {SIZE})"
     )
 
 
