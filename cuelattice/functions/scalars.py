@@ -310,3 +310,26 @@ def hex_channel(text: Column, which: int, fallback: float = 1.0) -> Column:
     full = F.when(F.length(s) == 3, F.regexp_replace(s, "(.)", "$1$1")).otherwise(s)
     value = F.conv(F.substring(full, 1 + 2 * which, 2), 16, 10).try_cast("double") / 255.0
     return F.when(full.rlike("^[0-9a-fA-F]{6}$"), value).otherwise(F.lit(fallback))
+
+
+def clock_at(start: Column, frame: Column, fps: Column) -> Column:
+    """Wall-clock time of a frame."""
+    micros = F.floor(frame / F.greatest(fps, F.lit(1.0)) * 1e6).cast("long")
+    return F.timestamp_micros(F.unix_micros(start) + micros)
+
+
+def geometry(width: Column, height: Column, scale: Column, era_height: Column) -> dict[str, Column]:
+    """Delivery size, and the smaller era size when the look asks for fewer lines."""
+    out_w, out_h = even(F.floor(width * scale)), even(F.floor(height * scale))
+    small = F.coalesce((era_height > 0) & (era_height < out_h), F.lit(False))
+    proc_h = F.when(small, even(era_height)).otherwise(out_h)
+    proc_w = F.when(small, even(out_w * proc_h / out_h)).otherwise(out_w)
+    return {"out_w": out_w, "out_h": out_h, "proc_w": proc_w, "proc_h": proc_h}
+
+
+def place(pos: Column, extent: Column, size: Column, margin: float) -> Column:
+    """Leading edge of a block centred on ``pos``, kept inside the safe area when it fits there."""
+    m = F.rint(size * margin)
+    want = pos * size - extent / 2.0
+    lo, hi = m, size - m - extent
+    return F.rint(F.when(hi < lo, want).otherwise(F.least(F.greatest(want, lo), hi))).cast("long")

@@ -48,3 +48,11 @@ def typical_row(df: DataFrame, keys: list[str], row: str, features: list[str]) -
     # Rounded so that two equal distances stay equal on every machine; the lower row id then wins.
     scored = out.withColumn("_d", F.round(dist, 9))
     return scored.groupBy(*keys).agg(F.min(F.struct("_d", row)).alias("_b")).select(*keys, F.col(f"_b.{row}").alias(row), F.col("_b._d").alias("distance"))
+
+
+def health(off_length: Column, has_sound: Column, brightest: Column, floor: float, broken: Column) -> Column:
+    """First reason a result fails its check, in the order they are tested."""
+    return (
+        F.when(off_length, "duration").when(~has_sound, "no audio")
+        .when(F.coalesce(brightest, F.lit(0.0)) < floor, "near black").when(broken, "non-finite").otherwise("ok")
+    )

@@ -6,8 +6,10 @@ import importlib
 
 QUERY_MODULES = (
     "catalog_queries",
+    "media_queries",
     "plan_queries",
     "series_queries",
+    "streaming_queries",
 )
 
 

@@ -383,9 +383,9 @@ def longest_hold(spark, d):
 
 
 @query("W20_edge_profile", f"""WITH {I_SQL} SELECT event_id, frame, round(amp * CASE WHEN k - (dur - e) >= 0 THEN CASE WHEN e = 1 THEN 1.0 ELSE 1.0 - (k - (dur - e)) / (e - 1) * 0.75 END
- WHEN k < e THEN CASE WHEN e = 1 THEN 0.3 ELSE 0.3 + 0.7 * k / (e - 1) END ELSE 1.0 END, 6) AS level FROM (SELECT *, greatest(least(3, dur // 2), 1) AS e FROM cells)""")
+ WHEN k < e THEN CASE WHEN e = 1 THEN 0.3 ELSE 0.3 + 0.7 * k / (e - 1) END ELSE 1.0 END, 9) AS level FROM (SELECT *, greatest(least(3, dur // 2), 1) AS e FROM cells)""")
 def edge_profile(spark, d):
-    return iv.glitch_profile(event_intervals(spark, d), "amp", "level").select("event_id", "frame", F.round("level", 6).alias("level"))
+    return iv.glitch_profile(event_intervals(spark, d), "amp", "level").select("event_id", "frame", F.round("level", 9).alias("level"))
 
 
 @query("W21_relax_next", f"""WITH {I_SQL}, te AS (SELECT clip_id, start AS frame, max(amp) AS amp FROM iv GROUP BY 1, 2)

@@ -14,12 +14,19 @@ from cuelattice.plans.registry import query
 
 K = ["series_id"]
 ROW = ["series_id", "idx"]
-X = F.col("x")
-XS = F.col("x") / 250.0 - 1.0          # the value as a signal in -1..1
 XS_SQL = "(x / 250.0 - 1.0)"
 SIZE, DT = 4, 0.01                     # rows per control cell, seconds per cell
 
 
+def X():
+    return F.col("x")
+
+
+def XS():
+    """The value as a signal in -1..1."""
+    return F.col("x") / 250.0 - 1.0
+
+
 def with_(body: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([S_SQL, *ctes])} {body}"
 
@@ -71,12 +78,12 @@ def series_source(spark, d):
 
 @query("W2_running_max", with_("SELECT series_id, idx, max(x) OVER (PARTITION BY series_id ORDER BY idx) AS top FROM s"))
 def running_max(spark, d):
-    return se.running_max(event_series(spark, d), K, X, "top").select(*ROW, "top")
+    return se.running_max(event_series(spark, d), K, X(), "top").select(*ROW, "top")
 
 
 @query("W3_cumulative_integral", with_("SELECT series_id, idx, round(sum(x) OVER (PARTITION BY series_id ORDER BY idx), 6) AS total FROM s"))
 def cumulative(spark, d):
-    return se.running_sum(event_series(spark, d), K, X, "total").select(*ROW, sc.r6(F.col("total")).alias("total"))
+    return se.running_sum(event_series(spark, d), K, X(), "total").select(*ROW, sc.r6(F.col("total")).alias("total"))
 
 
 ISLANDS = """r AS (SELECT series_id, idx, x, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS g FROM s WHERE x > 120),
@@ -85,19 +92,19 @@ ISLANDS = """r AS (SELECT series_id, idx, x, idx - row_number() OVER (PARTITION
 
 @query("W4_gaps_and_islands", with_("SELECT series_id, idx, min(idx) OVER (PARTITION BY series_id, g) AS run_start FROM r", ISLANDS))
 def islands(spark, d):
-    return se.islands(event_series(spark, d), K, X > 120).select(*ROW, "run_start")
+    return se.islands(event_series(spark, d), K, X() > 120).select(*ROW, "run_start")
 
 
 @query("A19_episode_summary", with_("SELECT series_id, run_start, length, peak FROM runs", ISLANDS))
 def episode_summary(spark, d):
-    return se.episodes(event_series(spark, d), K, X > 120, X).select("series_id", "run_start", "length", "peak")
+    return se.episodes(event_series(spark, d), K, X() > 120, X()).select("series_id", "run_start", "length", "peak")
 
 
 @query("W5_longest_run", with_(
     "SELECT series_id, run_start AS start, run_start + length - 1 AS stop FROM runs "
     "QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY length DESC, run_start) = 1", ISLANDS))
 def longest_run(spark, d):
-    return se.longest_run(event_series(spark, d), K, X > 120)
+    return se.longest_run(event_series(spark, d), K, X() > 120)
 
 
 @query("W6_min_gap_mask", with_(
@@ -105,7 +112,7 @@ def longest_run(spark, d):
     step_sql("r", "s", ["kept"], ["CASE WHEN b.x > 150 THEN 0 ELSE -1000 END"],
              ["CASE WHEN b.x > 150 AND b.idx - r.kept > 3 THEN b.idx ELSE r.kept END"]), recursive=True))
 def min_gap_mask(spark, d):
-    hits = event_series(spark, d).filter(X > 150)
+    hits = event_series(spark, d).filter(X() > 150)
     return kn.fold_blocks(hits, K, [], kn.min_gap(3.0, False, "idx"), "kept").filter("kept = 1").select(*ROW)
 
 
@@ -127,15 +134,15 @@ def zero_order_hold(spark, d):
 @query("W9_previous_row_blend", with_(
     "SELECT series_id, idx, round(CASE WHEN idx % 2 = 1 THEN x * 0.4 + lag(x) OVER (PARTITION BY series_id ORDER BY idx) * 0.6 ELSE x END, 6) AS y FROM s"))
 def previous_blend(spark, d):
-    s = se.previous(event_series(spark, d), K, X, "was")
-    return s.select(*ROW, sc.r6(F.when(F.col("idx") % 2 == 1, X * 0.4 + F.col("was") * 0.6).otherwise(X)).alias("y"))
+    s = se.previous(event_series(spark, d), K, X(), "was")
+    return s.select(*ROW, sc.r6(F.when(F.col("idx") % 2 == 1, X() * 0.4 + F.col("was") * 0.6).otherwise(X())).alias("y"))
 
 
 @query("W10_straddle_blend", with_(
     "SELECT series_id, idx, round(CASE WHEN idx % 5 = 2 THEN x * 0.75 + lag(x) OVER (PARTITION BY series_id ORDER BY idx) * 0.25 ELSE x END, 6) AS y FROM s"))
 def straddle_blend(spark, d):
-    s = se.previous(event_series(spark, d), K, X, "was")
-    return s.select(*ROW, sc.r6(F.when(F.col("idx") % 5 == 2, X * 0.75 + F.col("was") * 0.25).otherwise(X)).alias("y"))
+    s = se.previous(event_series(spark, d), K, X(), "was")
+    return s.select(*ROW, sc.r6(F.when(F.col("idx") % 5 == 2, X() * 0.75 + F.col("was") * 0.25).otherwise(X())).alias("y"))
 
 
 ALPHA = 1.0 - math.exp(-1.0 / (0.7 * 30.0))
@@ -145,14 +152,14 @@ ALPHA = 1.0 - math.exp(-1.0 / (0.7 * 30.0))
     "SELECT series_id, idx, round(y, 6) AS y FROM r",
     step_sql("r", "s", ["y"], ["b.x"], [f"r.y + (b.x - r.y) * {ALPHA!r}"]), recursive=True))
 def exponential_smoothing(spark, d):
-    return se.smooth(event_series(spark, d), K, X, ALPHA, "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
+    return se.smooth(event_series(spark, d), K, X(), ALPHA, "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
 @query("W12_attack_release", with_(
     "SELECT series_id, idx AS cell, round(env, 6) AS env FROM r",
     cells_sql("c", "s", f"abs({XS_SQL})", "rms"), follow_sql("r", "c", 15.0, 80.0, ">"), recursive=True))
 def attack_release(spark, d):
-    cells = mx.follow_cells(event_series(spark, d), K, F.abs(XS), SIZE, "rms", DT, 15.0, 80.0)
+    cells = mx.follow_cells(event_series(spark, d), K, F.abs(XS()), SIZE, "rms", DT, 15.0, 80.0)
     return cells.select("series_id", "cell", sc.r6(F.col("env")).alias("env"))
 
 
@@ -160,7 +167,7 @@ def attack_release(spark, d):
     "SELECT series_id, idx AS cell, round(env, 6) AS env FROM r",
     cells_sql("c", "s", "x / 500.0", "low"), follow_sql("r", "c", 5.0, 60.0, "<"), recursive=True))
 def gain_smoothing(spark, d):
-    cells = mx.follow_cells(event_series(spark, d), K, X / 500.0, SIZE, "low", DT, 5.0, 60.0, rising_is_attack=False)
+    cells = mx.follow_cells(event_series(spark, d), K, X() / 500.0, SIZE, "low", DT, 5.0, 60.0, rising_is_attack=False)
     return cells.select("series_id", "cell", sc.r6(F.col("env")).alias("env"))
 
 
@@ -168,7 +175,7 @@ def gain_smoothing(spark, d):
     "SELECT series_id, idx, round(y, 6) AS y FROM r",
     step_sql("r", "s", ["y"], ["b.x"], ["greatest(b.x, r.y * 0.8731)"]), recursive=True))
 def decaying_max(spark, d):
-    return se.decaying_max(event_series(spark, d), K, X, 0.8731, "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
+    return se.decaying_max(event_series(spark, d), K, X(), 0.8731, "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
 @query("W15_change_gated", with_(
@@ -176,7 +183,7 @@ def decaying_max(spark, d):
     "n AS MATERIALIZED (SELECT series_id, idx, x / 500.0 AS x FROM s)",
     step_sql("r", "n", ["y"], ["b.x"], ["b.x + (r.y - b.x) * (0.72 * exp(-abs(b.x - r.y) / 0.13))"]), recursive=True))
 def change_gated(spark, d):
-    s = event_series(spark, d).withColumn("x", X / 500.0)
+    s = event_series(spark, d).withColumn("x", X() / 500.0)
     return kn.fold_blocks(s, K, ["x"], kn.gated_recursion(0.9), "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
@@ -186,7 +193,7 @@ def change_gated(spark, d):
     step_sql("r", "n", ["y"], ["b.x"],
              ["CASE WHEN b.idx % 3 = 0 THEN r.y + round_even((b.x - r.y) / 0.035, 0) * 0.035 * 0.6 ELSE r.y END"]), recursive=True))
 def stepped_tracking(spark, d):
-    s = event_series(spark, d).withColumn("x", X / 500.0)
+    s = event_series(spark, d).withColumn("x", X() / 500.0)
     return kn.fold_blocks(s, K, ["x"], kn.stepped_tracking(3), "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
@@ -203,7 +210,7 @@ VEL0 = f"(({WN * WN!r} * (b.want - b.want)) * {SDT!r})"
              [GAIN, VEL, f"CASE WHEN abs({GAIN} - r.stop) > {0.62 * Q!r} THEN round_even({GAIN} / {Q!r}, 0) * {Q!r} ELSE r.stop END"]),
     recursive=True))
 def hysteresis_servo(spark, d):
-    s = event_series(spark, d).withColumn("want", F.log(sc.clip(F.lit(150.0) / X, 0.25, 3.0)))
+    s = event_series(spark, d).withColumn("want", F.log(sc.clip(F.lit(150.0) / X(), 0.25, 3.0)))
     y = kn.fold_blocks(s, K, ["want"], kn.iris_servo(24.0, 0.5, 0.6, 0.5), "y", tol=1e-12)
     return y.select(*ROW, sc.r6(F.col("y")).alias("y"))
 
@@ -216,7 +223,7 @@ def hysteresis_servo(spark, d):
     "z AS MATERIALIZED (SELECT series_id, idx FROM p WHERE w <= 0 AND v > 0)"))
 def zero_crossing(spark, d):
     s = event_series(spark, d)
-    s = s.join(series_lengths(s), K).withColumn("v", XS)
+    s = s.join(series_lengths(s), K).withColumn("v", XS())
     return mx.zero_cross_near(s, K, "v", "n", 5, "near").select(*ROW, F.col("near").cast("long").alias("near"))
 
 
@@ -230,7 +237,7 @@ ENV15 = [cells_sql("c1", "s", f"abs({XS_SQL})", "rms"), follow_sql("r1", "c1", 1
     *ENV15, f"w1 AS MATERIALIZED (SELECT *, least(greatest(pow(10.0, -12.0 / 20) / greatest(env, 1e-5), {10 ** (-24 / 20)!r}), {10 ** (12 / 20)!r}) AS want FROM u1)",
     cells_sql("c2", "w1", "want", "low"), follow_sql("r2", "c2", 20.0, 200.0, "<"), up_sql("u2", "w1", "r2", "g"), recursive=True))
 def gain_ride(spark, d):
-    s = event_series(spark, d).withColumn("xs", XS)
+    s = event_series(spark, d).withColumn("xs", XS())
     y = mx.gain_ride(s, K, "xs", SIZE, DT, -12.0, 12.0, 20.0, 200.0, 0.8)
     return y.select(*ROW, sc.r6(F.col("gain")).alias("gain"), sc.r6(F.col("y")).alias("y"))
 
@@ -242,7 +249,7 @@ def gain_ride(spark, d):
     f"w1 AS MATERIALIZED (SELECT *, pow(10.0, -(CASE WHEN ov <= -3.0 THEN 0.0 WHEN ov < 3.0 THEN {(1 - 1 / 3)!r} * pow(ov + 3.0, 2) / 12.0 ELSE {(1 - 1 / 3)!r} * ov END) / 20.0) AS raw FROM o1)",
     cells_sql("c2", "w1", "raw", "low"), follow_sql("r2", "c2", 8.0, 200.0, "<"), up_sql("u2", "w1", "r2", "g"), recursive=True))
 def compressor(spark, d):
-    s = event_series(spark, d).withColumn("xs", XS)
+    s = event_series(spark, d).withColumn("xs", XS())
     y = mx.compress(s, K, "xs", SIZE, DT, -20.0, 3.0, 6.0, 8.0, 200.0, 3.0)
     return y.select(*ROW, sc.r6(F.col("gain")).alias("gain"), sc.r6(F.col("y")).alias("y"))
 
@@ -262,7 +269,7 @@ def bed_of(spark, d):
 def loop_join(spark, d):
     bed, m = bed_of(spark, d)
     y = mx.loop_join(event_series(spark, d), bed, m, "b", "b")
-    return y.select(*ROW, sc.r6(X + F.col("b")).alias("y"))
+    return y.select(*ROW, sc.r6(X() + F.col("b")).alias("y"))
 
 
 @query("W25_ducked_mix", with_(
@@ -273,7 +280,7 @@ def loop_join(spark, d):
     "agg AS MATERIALIZED (SELECT series_id, sqrt(avg(b * b)) + 1e-12 AS rms, quantile_cont(env, 0.9) AS p90 FROM u1 GROUP BY 1)", recursive=True))
 def ducked_mix(spark, d):
     bed, m = bed_of(spark, d)
-    s = mx.loop_join(event_series(spark, d), bed, m, "b", "b").withColumn("xs", XS)
+    s = mx.loop_join(event_series(spark, d), bed, m, "b", "b").withColumn("xs", XS())
     return mx.duck(s, K, "xs", "b", SIZE, DT, 0.7, -18.0).select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
@@ -316,7 +323,7 @@ def slice_reassembly(spark, d):
     "WHERE c.st + j.j >= 0 AND c.st + j.j < n.n) GROUP BY 1, 2", N_SQL))
 def additive_mix(spark, d):
     s = event_series(spark, d)
-    clips = s.select("series_id", (F.col("idx") * 2 - 3).alias("start"), (F.lit(3) + F.col("k") % 5).alias("len"), (X * 0.1).alias("amp"))
+    clips = s.select("series_id", (F.col("idx") * 2 - 3).alias("start"), (F.lit(3) + F.col("k") % 5).alias("len"), (X() * 0.1).alias("amp"))
     return mx.mix_at(s, K, clips, series_lengths(s), "x", "y").select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
@@ -396,7 +403,7 @@ def interpolating_lookup(spark, d):
     "first_value(c IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b "
     "FROM (SELECT *, CASE WHEN event_type = 'signup' THEN {'p': t, 'v': x} END AS c FROM s))"))
 def control_to_row(spark, d):
-    known = F.when(F.col("event_type") == "signup", X)
+    known = F.when(F.col("event_type") == "signup", X())
     y = mx.interpolate_known(event_series(spark, d), K, "t", known, "y")
     return y.select(*ROW, sc.r6(F.col("y")).alias("y"))
 
@@ -421,21 +428,21 @@ def fit_length(spark, d):
 
 @query("A6_rms", with_(f"SELECT series_id, round(sqrt(avg({XS_SQL} * {XS_SQL})) + 1e-12, 6) AS rms FROM s GROUP BY 1"))
 def rms(spark, d):
-    return event_series(spark, d).groupBy(*K).agg(sc.r6(F.sqrt(F.avg(XS * XS)) + 1e-12).alias("rms"))
+    return event_series(spark, d).groupBy(*K).agg(sc.r6(F.sqrt(F.avg(XS() * XS())) + 1e-12).alias("rms"))
 
 
 @query("A7_peak_guard", with_(
     f"SELECT series_id, idx, round({XS_SQL} * CASE WHEN max(abs({XS_SQL})) OVER (PARTITION BY series_id) > 0.95 THEN 0.95 / max(abs({XS_SQL})) OVER (PARTITION BY series_id) ELSE 1 END, 6) + 0.0 AS y FROM s"))
 def peak_guard(spark, d):
     s = event_series(spark, d)
-    peaks = s.groupBy(*K).agg(F.max(F.abs(XS)).alias("pk"))
-    return s.join(peaks, K).select(*ROW, sc.r6(XS * F.when(F.col("pk") > 0.95, F.lit(0.95) / F.col("pk")).otherwise(1.0)).alias("y"))
+    peaks = s.groupBy(*K).agg(F.max(F.abs(XS())).alias("pk"))
+    return s.join(peaks, K).select(*ROW, sc.r6(XS() * F.when(F.col("pk") > 0.95, F.lit(0.95) / F.col("pk")).otherwise(1.0)).alias("y"))
 
 
 @query("A8_level_match", with_(
     "SELECT series_id, round(least(greatest(sqrt(avg(x * x) FILTER (event_type = 'view')) / (sqrt(avg(x * x) FILTER (event_type = 'click')) + 1e-12), pow(10.0, -0.1)), pow(10.0, 0.1)), 6) AS gain FROM s GROUP BY 1"))
 def level_match(spark, d):
-    part = lambda kind: F.sqrt(F.avg(F.when(F.col("event_type") == kind, X * X)))
+    part = lambda kind: F.sqrt(F.avg(F.when(F.col("event_type") == kind, X() * X())))
     gain = part("view") / (part("click") + 1e-12)
     lim = F.when(gain.isNotNull(), sc.clip(gain, 10 ** -0.1, 10 ** 0.1)).otherwise(F.lit(10 ** -0.1))
     return event_series(spark, d).groupBy(*K).agg(sc.r6(lim).alias("gain"))
@@ -446,7 +453,7 @@ def level_match(spark, d):
 def robust_normalise(spark, d):
     from cuelattice.operators.schedules import normalise_p95
 
-    y = normalise_p95(event_series(spark, d).withColumn("xs", XS), K, "xs", "y")
+    y = normalise_p95(event_series(spark, d).withColumn("xs", XS()), K, "xs", "y")
     return y.select(*ROW, sc.r6(F.col("y")).alias("y"))
 
 
@@ -461,7 +468,7 @@ def quantile_reference(spark, d):
     "SELECT p.series_id, p.idx AS cell, round(p.det, 6) AS peak, round(r.det, 6) AS rms, round(l.det, 6) AS low FROM p JOIN r USING (series_id, idx) JOIN l USING (series_id, idx)",
     cells_sql("p", "s", "x", "peak"), cells_sql("r", "s", "x", "rms"), cells_sql("l", "s", "x", "low")))
 def block_reduce(spark, d):
-    c = se.block_reduce(event_series(spark, d), K, X, SIZE)
+    c = se.block_reduce(event_series(spark, d), K, X(), SIZE)
     return c.select("series_id", "cell", *[sc.r6(F.col(v)).alias(v) for v in ("peak", "rms", "low")])
 
 

@@ -129,4 +129,34 @@ def drifted(now: DataFrame, saved: DataFrame, key: str, fields: list[str]) -> Da
 
 def fingerprint(parts: list[Column]) -> Column:
     """Hash of the canonical settings; the order of ``parts`` is the canonical order."""
-    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]), 256)
+
+
+def pictures(files: DataFrame, path: str) -> DataFrame:
+    """Pack and name of the png, jpg and jpeg paths, whatever their case."""
+    parts = F.split(path, "/")
+    return files.filter(F.col(path).rlike(r"(?i)\.(png|jpe?g)$")).withColumn("pack", F.element_at(parts, -2)).withColumn(
+        "name", F.element_at(parts, -1)
+    )
+
+
+def first_assets(assets: DataFrame, key: str, pos: str, name: str, suffixes: list[str]) -> DataFrame:
+    """First asset per platform suffix, by position."""
+    which = F.lit(None).cast("string")
+    for s in suffixes:
+        which = F.when(F.lower(name).endswith(s), s).otherwise(which)
+    return assets.withColumn("suffix", which).filter("suffix IS NOT NULL").groupBy(key, "suffix").agg(F.min_by(name, pos).alias("asset"))
+
+
+def release_label(labels: DataFrame, key: str, label: str, known: list[str], skip: str) -> DataFrame:
+    """Exactly one release label, or the skip label alone; anything else is an error row."""
+    norm = F.lower(F.trim(F.col(label)))
+    flags = labels.groupBy(key).agg(
+        F.max(norm == skip).alias("_skip"), *[F.max(norm == k).alias(f"_l_{k}") for k in known]
+    )
+    hits = sum((F.col(f"_l_{k}").cast("int") for k in known), F.lit(0))
+    one = F.coalesce(*[F.when(F.col(f"_l_{k}"), k) for k in known])
+    error = F.when(F.col("_skip") & (hits > 0), "skip with others").when(~F.col("_skip") & (hits == 0), "no label").when(
+        ~F.col("_skip") & (hits > 1), "several labels"
+    )
+    return flags.select(key, F.when(error.isNull(), F.when(F.col("_skip"), "none").otherwise(one)).alias("label"), error.alias("error"))
