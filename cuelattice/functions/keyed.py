@@ -45,10 +45,20 @@ def poisson(lam: float, u: Column) -> Column:
 
 def poisson_varying(lam: Column, u: Column, most: int) -> Column:
     """Inverse-CDF count for a per-row rate, at most ``most``."""
-    start = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("n"))
 
-    def step(a: Column, k: Column) -> Column:
-        p = a["p"] * lam / k
-        return F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + F.when(u >= a["c"], 1).otherwise(0)).alias("n"))
+    def count(given: Column) -> Column:
+        p0 = F.exp(-given["lam"])
+        start = F.struct(p0.alias("p"), p0.alias("c"), F.lit(0).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["n"]
+        def step(a: Column, k: Column) -> Column:
+            p = a["p"] * given["lam"] / k
+            return F.struct(
+                p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + F.when(given["u"] >= a["c"], 1).otherwise(0)).alias("n")
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["n"]
+
+    # Bound as one array element, so the draw and the rate are computed once per row, not once per
+    # step; most rows stop at the first comparison.
+    given = F.array(F.struct(lam.alias("lam"), u.alias("u")))
+    return F.transform(given, lambda g: F.when(g["u"] < F.exp(-g["lam"]), 0).otherwise(count(g)))[0]

@@ -1,7 +1,7 @@
 """State-dependent recursions, cut into blocks that run at the same time.
 
-Spark shuffles rows to ``(keys, block)`` groups of bounded size and a small Python loop walks each
-group. A block first runs cold; its end state becomes the next block's start; blocks whose start
+Spark shuffles and sorts rows by ``(keys, block)`` and a small Python loop walks them batch by
+batch, holding one batch and one state at a time. A block first runs cold; its end state becomes the next block's start; blocks whose start
 turned out different run again. When no start changes any more the outcome is the plain sequential
 one, however long the series is. Nothing is skipped if a recursion forgets slowly: it only takes
 more rounds.
@@ -9,16 +9,17 @@ more rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cuelattice.session import materialize
+from cuelattice.session import materialize, spread
 
 # A kernel maps (columns, start state or None) to (outputs, end state).
-Kernel = Callable[[dict[str, np.ndarray], list[float] | None], tuple[np.ndarray, list[float]]]
+Kernel = Callable[[dict[str, list], list[float] | None], tuple[np.ndarray, list[float]]]
 
 
 def fold_blocks(
@@ -27,40 +28,71 @@ def fold_blocks(
     """Add ``out``: the kernel's output per row. Starts that differ by at most ``tol`` count as equal."""
     key_fields = [df.schema[k] for k in keys] + [T.StructField("block", T.LongType())]
     end_schema = T.StructType([*key_fields, T.StructField("end", T.ArrayType(T.DoubleType()))])
+    out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    group = [*keys, "block"]
 
-    def columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {c: pdf[c].to_numpy() for c in ["idx", *inputs]}
+    def in_order(rows: DataFrame) -> DataFrame:
+        return spread(rows, *group).sortWithinPartitions(*group, "idx")
 
     def ends_of(rows: DataFrame) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("idx")
-            start = pdf["start"].iloc[0]
-            _, end = kernel(columns(pdf), None if start is None else list(start))
-            row = {k: [pdf[k].iloc[0]] for k in [*keys, "block"]}
-            return pd.DataFrame({**row, "end": [end]})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            open_key, state = None, None
+            for pdf, spans in _spans(batches, group):
+                done = []
+                for key, lo, hi in spans:
+                    if key != open_key:
+                        if open_key is not None:
+                            done.append((*open_key, state))
+                        open_key, state = key, _start(pdf, lo)
+                    _, state = kernel(_slice(pdf, inputs, lo, hi), state)
+                if done:
+                    yield pd.DataFrame(done, columns=[*group, "end"])
+            if open_key is not None:
+                yield pd.DataFrame([(*open_key, state)], columns=[*group, "end"])
+
+        return in_order(rows.select(*group, "idx", *inputs, "start")).mapInPandas(run, end_schema)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, state = None, None
+        for pdf, spans in _spans(batches, group):
+            parts = []
+            for key, lo, hi in spans:
+                if key != open_key:
+                    open_key, state = key, _start(pdf, lo)
+                y, state = kernel(_slice(pdf, inputs, lo, hi), state)
+                parts.append(y)
+            yield pdf.drop(columns="start").assign(**{out: np.concatenate(parts)})
+
+    slim = df.select(*group, "idx", *inputs)
+    starts = _starts(slim, keys, ends_of, tol)
+    none = F.lit(None).cast("array<double>")
+    joined = df.withColumn("start", none) if starts is None else df.join(starts, group, "left").select(*df.columns, "start")
+    return in_order(joined).mapInPandas(emit, out_schema)
 
-        return rows.select(*keys, "block", "idx", *inputs, "start").groupBy(*keys, "block").applyInPandas(run, end_schema)
 
-    slim = df.select(*keys, "block", "idx", *inputs)
-    starts = _starts(df.sparkSession, slim, keys, ends_of, tol)
+def _spans(batches: Iterator[pd.DataFrame], group: list[str]):
+    """Each batch with its runs of equal group keys; a group may go on in the next batch."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        cols = [pdf[c].to_numpy() for c in group]
+        new = np.zeros(len(pdf), dtype=bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+        yield pdf, [(tuple(c[lo] for c in cols), lo, hi) for lo, hi in zip(at[:-1], at[1:])]
 
-    out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    names = [f.name for f in df.schema.fields]
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        start = pdf["start"].iloc[0]
-        y, _ = kernel(columns(pdf), None if start is None else list(start))
-        res = pdf[names].copy()
-        res[out] = y
-        return res
+def _start(pdf: pd.DataFrame, row: int) -> list[float] | None:
+    start = pdf["start"].iloc[row]
+    return None if start is None else list(start)
 
-    none = F.lit(None).cast("array<double>")
-    joined = df.withColumn("start", none) if starts is None else df.join(starts, [*keys, "block"], "left")
-    return joined.groupBy(*keys, "block").applyInPandas(emit, out_schema)
+
+def _slice(pdf: pd.DataFrame, inputs: list[str], lo: int, hi: int) -> dict[str, list]:
+    return {c: pdf[c].to_numpy()[lo:hi].tolist() for c in ["idx", *inputs]}
 
 
-def _starts(spark, slim: DataFrame, keys: list[str], ends_of, tol: float) -> DataFrame | None:
+def _starts(slim: DataFrame, keys: list[str], ends_of, tol: float) -> DataFrame | None:
     """Start state of every block past the first, or None when no key has a second block."""
     if slim.filter("block > 0").isEmpty():
         return None
@@ -118,7 +150,7 @@ def gated_recursion(strength: float) -> Kernel:
         y = np.empty(len(x))
         prev = None if state is None else state[0]
         for i, v in enumerate(x):
-            prev = v if prev is None else v + (prev - v) * (strength * 0.8 * np.exp(-abs(v - prev) / 0.13))
+            prev = v if prev is None else v + (prev - v) * (strength * 0.8 * math.exp(-abs(v - prev) / 0.13))
             y[i] = prev
         return y, [float(prev)]
 
@@ -136,7 +168,7 @@ def stepped_tracking(every: int, quantum: float = 0.035) -> Kernel:
             if level is None:
                 level = v
             elif idx[i] % every == 0:
-                level += np.round((v - level) / quantum) * quantum * 0.6
+                level += round((v - level) / quantum) * quantum * 0.6
             y[i] = level
         return y, [float(level)]
 
@@ -154,14 +186,14 @@ def iris_servo(fps: float, lag: float, overshoot: float, iris_step: float) -> Ke
         want = cols["want"]
         y = np.empty(len(want))
         g, vel, stop = (want[0], 0.0, None) if state is None else (state[0], state[1], state[2])
-        if stop is not None and np.isnan(stop):
+        if stop is not None and math.isnan(stop):
             stop = None
         for i, d in enumerate(want):
             vel += (wn * wn * (d - g) - 2.0 * zeta * wn * vel) * dt
             g += vel * dt
             if iris_step > 0:
                 if stop is None or abs(g - stop) > 0.62 * q:
-                    stop = np.round(g / q) * q
+                    stop = round(g / q) * q
                 y[i] = stop
             else:
                 y[i] = g
@@ -174,7 +206,7 @@ def min_gap(gap: float, inclusive: bool, by: str) -> Kernel:
     """Greedy thinning: 1.0 for kept rows. ``inclusive`` keeps a row exactly ``gap`` after the last kept."""
 
     def run(cols, state):
-        pos = cols[by].astype(float)
+        pos = cols[by]
         y = np.zeros(len(pos))
         last = -np.inf if state is None else state[0]
         for i, p in enumerate(pos):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelattice.functions import keyed
 from cuelattice.operators.series import exact_percentiles
+from cuelattice.session import materialize, spread
 
 SPINE_BLOCK = 4096
 
@@ -23,7 +24,7 @@ def spine(clips: DataFrame, keys: list[str], n: str, halo: int = 0, block: int =
     )
     lo = F.col("block") * F.lit(block) - F.lit(halo)
     hi = F.least((F.col("block") + 1) * F.lit(block), F.col(n).cast("long")) - 1 + F.lit(halo)
-    return blocks.repartition(*keys, "block").withColumn("idx", F.explode(F.sequence(lo, hi)))
+    return spread(blocks, *keys, "block").withColumn("idx", F.explode(F.sequence(lo, hi)))
 
 
 def hann_taps(half: int) -> list[float]:
@@ -48,7 +49,8 @@ def smooth_track(clips: DataFrame, keys: list[str], n: str, key: str, half: int,
     acc = sum((F.lag("_g", -k).over(w) * F.lit(t) for k, t in zip(range(-half, half + 1), taps)), F.lit(0.0))
     raw = grid.withColumn("_f", acc).filter((F.col("idx") >= F.col("block") * SPINE_BLOCK) & (
         F.col("idx") < F.least((F.col("block") + 1) * SPINE_BLOCK, F.col(n)))).drop("_g")
-    return normalise_p95(raw, keys, "_f", out).drop("_f")
+    # Written once: the normaliser reads the track several times, and the draws are the costly part.
+    return normalise_p95(materialize(raw, "track"), keys, "_f", out).drop("_f")
 
 
 def onef_track(df: DataFrame, keys: list[str], key: str, alpha: float, octaves: int, out: str) -> DataFrame:
@@ -58,7 +60,7 @@ def onef_track(df: DataFrame, keys: list[str], key: str, alpha: float, octaves:
         held = F.floor(F.col("idx") / F.lit(2**o)).cast("long")
         gain = 2.0 ** (o * (alpha - 1.0) / 2.0)
         total = total + keyed.white(F.col("seed"), *[F.col(k) for k in keys], f"{key}/{o}", held) * F.lit(gain)
-    return normalise_p95(df.withColumn("_o", total), keys, "_o", out).drop("_o")
+    return normalise_p95(materialize(df.withColumn("_o", total), "track"), keys, "_o", out).drop("_o")
 
 
 def activation(gate: Column, threshold: float, flicker: Column) -> Column:
@@ -82,9 +84,9 @@ def poisson_times(clips: DataFrame, keys: list[str], key: str, per_minute: float
     """
     lam = per_minute / 60.0 * cell_s
     part = [F.col("seed"), *[F.col(k) for k in keys]]
-    cells = clips.filter("duration > 0").withColumn(
+    cells = spread(clips.filter("duration > 0").withColumn(
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") / cell_s).cast("long") - 1))
-    ).repartition(*keys, "cell")
+    ), *keys, "cell")
     hits = cells.withColumn("_n", keyed.poisson(lam, keyed.uniform(*part, key, F.col("cell"), "n"))).filter("_n > 0")
     hits = hits.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     t = (F.col("cell") + keyed.uniform(*part, key, F.col("cell"), F.col("draw"))) * F.lit(cell_s)

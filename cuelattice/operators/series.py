@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuelattice.session import block_rows, materialize
+from cuelattice.session import DIRECT_ROWS_KEY, block_rows, materialize
 
 INF = Window.unboundedPreceding
 
@@ -121,9 +121,9 @@ def previous(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFra
 
 def islands(df: DataFrame, keys: list[str], active: Column, run: str = "run_start") -> DataFrame:
     """Maximal runs of active rows: keeps the active rows and tags each with its run's first idx."""
-    df = previous(df.withColumn("_on", active), keys, F.col("_on"), "_was")
-    opens = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), F.col("idx"))
-    return last_known(df, keys, opens, run).filter("_on").drop("_on", "_was")
+    on = previous(df.filter(active), keys, F.col("idx"), "_was")
+    opens = F.when(F.col("_was").isNull() | (F.col("_was") != F.col("idx") - 1), F.col("idx"))
+    return last_known(on, keys, opens, run).drop("_was")
 
 
 def episodes(df: DataFrame, keys: list[str], active: Column, level: Column) -> DataFrame:
@@ -272,13 +272,30 @@ def fit_length(df: DataFrame, keys: list[str], lengths: DataFrame, value: str, b
     )
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], bins: int = 4096) -> DataFrame:
-    """Exact linear-interpolated percentiles per key without gathering a key in one task.
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated percentiles per key. ``qs`` maps output names to fractions.
 
-    Two rounds of histogram counting narrow every wanted rank to a thin value range; only the
-    distinct values in that range are ordered. ``qs`` maps output names to fractions.
+    Spark's own ``percentile`` keeps a key's distinct values in one task, so it serves keys up to a
+    checked number of rows; larger keys are narrowed down by histograms. Both are exact.
     """
+    limit = int(df.sparkSession.conf.get(DIRECT_ROWS_KEY, str(1 << 20)))
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > limit).select(*keys)
+    direct = [F.percentile("_v", F.lit(q)).alias(name) for name, q in qs.items()]
+    if hot.isEmpty():
+        return base.groupBy(*keys).agg(*direct)
+    hot = materialize(hot, "hot-keys")
+    usual = base.join(hot, keys, "left_anti").groupBy(*keys).agg(*direct)
+    return usual.unionByName(_ranked_percentiles(base.join(hot, keys, "left_semi"), keys, qs))
+
+
+def _ranked_percentiles(base: DataFrame, keys: list[str], qs: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Percentiles of ``_v`` without gathering a key in one task.
+
+    Two rounds of histogram counting narrow every wanted rank to a thin value range; only the
+    distinct values in that range are ordered.
+    """
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )

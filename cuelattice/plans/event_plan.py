@@ -11,7 +11,7 @@ from cuelattice.functions.scalars import overlaps
 from cuelattice.operators.schedules import SPINE_BLOCK, activation, hann_taps, smooth_track
 from cuelattice.operators.series import episodes
 from cuelattice.plans.inputs import table
-from cuelattice.session import BLOCK_ROWS_KEY
+from cuelattice.session import BLOCK_ROWS_KEY, materialize
 
 KEYS = ["clip_id"]
 HALF = 6
@@ -35,10 +35,12 @@ def activations(clips: DataFrame, key: str = "trgate") -> DataFrame:
 
 def plan_episodes(clips: DataFrame, effect: str = "vhs") -> DataFrame:
     """Every episode of every clip with its stable id ``effect:kind:frame:n``."""
-    acts = activations(clips)
+    acts = activations(clips).filter("level > 0")
     size = int(clips.sparkSession.conf.get(BLOCK_ROWS_KEY, str(SPINE_BLOCK)))
     acts = acts.withColumn("block", F.floor(F.col("idx") / F.lit(size)).cast("long")) if size != SPINE_BLOCK else acts
-    runs = episodes(acts.select(*KEYS, "block", "idx", "level"), KEYS, F.col("level") > 0, F.col("level"))
+    # The active frames are few; written once, the run passes read them instead of drawing again.
+    acts = materialize(acts.select(*KEYS, "block", "idx", "level"), "active")
+    runs = episodes(acts, KEYS, F.col("level") > 0, F.col("level"))
     rows = runs.join(clips.select(*KEYS, "fps"), KEYS)
     return rows.select(
         *KEYS, F.lit(0).alias("layer"), F.lit(effect).alias("effect"), F.lit("tracking_storm").alias("kind"),

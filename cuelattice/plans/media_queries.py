@@ -11,6 +11,7 @@ from cuelattice.operators import aggregates as ag, assignment as an, series as s
 from cuelattice.plans.catalog_inputs import CH_SQL, steps
 from cuelattice.plans.inputs import S_SQL, event_series, table, timed_events
 from cuelattice.plans.registry import query
+from cuelattice.session import spread
 from cuelattice.sources import documents as doc, layers as ly, probe as pb
 
 def X():
@@ -308,7 +309,7 @@ CHUNK_SQL = rf"""pa AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text
 
 
 def script_chunks(spark, d):
-    docs = table(spark, d, "documents").repartition("doc_id")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     return docs.select("doc_id", F.col("n_chars"), F.posexplode(tx.script_chunks(F.col("text"), MOST)).alias("pos", "chunk"))
 
 
@@ -328,14 +329,14 @@ def cue_slots(spark, d):
 @query("F21_balanced_wrap", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS letters, true AS fits FROM documents")
 def balanced_wrap(spark, d):
     width = (F.col("doc_id") % 33 + 8).cast("int")
-    docs = table(spark, d, "documents").repartition("doc_id").select("doc_id", width.alias("width"), tx.wrapped(F.col("text"), width).alias("lines"))
+    docs = spread(table(spark, d, "documents"), "doc_id").select("doc_id", width.alias("width"), tx.wrapped(F.col("text"), width).alias("lines"))
     letters = F.length(F.regexp_replace(F.array_join("lines", ""), r"\s", "")).cast("long")
     return docs.select("doc_id", letters.alias("letters"), F.forall("lines", lambda x: F.length(x) <= F.col("width")).alias("fits"))
 
 
 @query("X2_wrapped_lines")
 def wrapped_lines(spark, d):
-    docs = table(spark, d, "documents").repartition("doc_id")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     return docs.select("doc_id", F.posexplode(tx.wrapped(F.col("text"), F.lit(32))).alias("line_no", "line"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS_KEY = "cuelattice.series.blockRows"
 DEFAULT_BLOCK_ROWS = 1 << 16
+# Largest key for which a percentile may be taken in one task.
+DIRECT_ROWS_KEY = "cuelattice.percentile.directRows"
 
 
 def build_session(app: str = "cuelattice", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -75,3 +77,12 @@ def materialize_bucketed(df: DataFrame, label: str, by: list[str], sort: list[st
 
 def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_KEY, str(DEFAULT_BLOCK_ROWS)))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Shuffle by ``cols`` to the session's full number of partitions.
+
+    For rows that are few but expand or cost much CPU: without the number, adaptive execution would
+    merge them into one task because they are small in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
