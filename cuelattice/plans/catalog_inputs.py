@@ -12,6 +12,7 @@ KEYS = ["job", "which", "effect_key"]
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "q"]
 
 _STEPS: dict[tuple[str, str], DataFrame] = {}
+_PARAMS: dict[tuple[str, str], DataFrame] = {}
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,13 @@ def authored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def params(spark: SparkSession, d: str) -> DataFrame:
-    """Declared parameters of every brand."""
+    """Declared parameters of every brand.
+
+    Written, so the planner knows the size: a few brands are broadcast, many are shuffled on.
+    """
+    memo = (spark.sparkContext.applicationId, d)
+    if memo in _PARAMS:
+        return _PARAMS[memo]
     row = lambda pos, name, kind, default, lo, hi, iscale, choices=(): F.struct(
         F.lit(pos).alias("pos"), F.lit(name).alias("param"), F.lit(kind).alias("kind"), default.alias("default_value"),
         F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(iscale).alias("iscale"),
@@ -59,7 +66,8 @@ def params(spark: SparkSession, d: str) -> DataFrame:
         row(4, "mode", "enum", F.lit("N"), 0.0, 1.0, False, ("A", "N", "R")),
         row(5, "note", "str", F.lit("none"), 0.0, 1.0, False),
     )
-    return brands.select("effect_id", F.explode(rows).alias("_p")).select("effect_id", "_p.*")
+    _PARAMS[memo] = materialize(brands.select("effect_id", F.explode(rows).alias("_p")).select("effect_id", "_p.*"), "params")
+    return _PARAMS[memo]
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:

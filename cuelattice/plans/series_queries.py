@@ -11,6 +11,7 @@ from cuelattice.functions.keyed import uniform
 from cuelattice.operators import kernels as kn, mixing as mx, series as se
 from cuelattice.plans.inputs import S_SQL, event_series, series_lengths, table
 from cuelattice.plans.registry import query
+from cuelattice.session import materialize
 
 K = ["series_id"]
 ROW = ["series_id", "idx"]
@@ -261,7 +262,9 @@ def bed_of(spark, d):
     """The short bed: supplier balances in key order; its length comes with it."""
     sup = table(spark, d, "supplier").withColumn("one", F.lit(1))
     rows = se.index_rows(sup, ["one"], ["s_suppkey"]).select("idx", (F.col("s_acctbal") / 10000.0).alias("b"))
-    return rows, sup.count()
+    # Written, so that its true size is known to the planner: a short bed is broadcast, a long one
+    # has enough positions to shuffle on.
+    return materialize(rows, "bed"), sup.count()
 
 
 @query("J16_loop_join", with_(

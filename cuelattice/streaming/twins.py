@@ -26,10 +26,12 @@ def parse_progress(lines: DataFrame, keep: list[str]) -> DataFrame:
     return lines.select(*keep, p.alias("p")).select(*keep, "p.phase", "p.progress")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table folder as a stream: files that arrive later join in."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, batch_bytes: str | None = None) -> DataFrame:
+    """A table folder as a stream: files that arrive later join in. ``batch_bytes`` bounds a micro-batch,
+    and with it the rows of one key that a stateful step sorts at a time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return (reader if batch_bytes is None else reader.option("maxBytesPerTrigger", batch_bytes)).parquet(sf_dir)
 
 
 def run_to_files(df: DataFrame, label: str) -> DataFrame:
