@@ -275,3 +275,22 @@ def test_plan_sink(spark, tmp_path):
     plan = event_plan.plan_episodes(clips)
     event_plan.write_plan(plan, str(tmp_path / "plan"))
     assert spark.read.parquet(str(tmp_path / "plan")).count() == plan.count()
+
+
+def test_layers_dials_and_audits_on_a_small_catalog(spark):
+    from cuelattice.operators import fixed_tables as ft
+
+    keys = ["job", "effect_key"]
+    st = spark.createDataFrame([(1, "grain", "grain"), (1, "vhs", "vhs")], "job INT, effect_key STRING, effect_id STRING")
+    pr = spark.createDataFrame(
+        [("grain", "amount", "float", "0.4", 0.0, 1.0, [], True), ("grain", "enabled", "bool", "true", 0.0, 1.0, [], False), ("vhs", "mode", "enum", "sp", 0.0, 1.0, ["sp", "ep"], False),
+         ("vhs", "luma_noise", "float", "0.2", 0.0, 1.0, [], True)],
+        "effect_id STRING, param STRING, kind STRING, default_value STRING, lo DOUBLE, hi DOUBLE, choices ARRAY<STRING>, iscale BOOLEAN")
+    au = spark.createDataFrame([(1, "grain", "grain", "amount", "0.8"), (1, "vhs", "vhs", "mode", "ep"), (1, "vhs", "vhs", "luma_noise", "0.5")], "job INT, effect_key STRING, effect_id STRING, param STRING, value STRING")
+    user = spark.createDataFrame([(1, "vhs", "luma_noise", None)], "job INT, effect_key STRING, param STRING, value STRING")
+    got = catalog.resolve(st, pr, [au.drop("effect_id"), user], keys, F.lit(0.5), F.lit(0.5), ft.texture_pairs(spark))
+    num = {(r["effect_key"], r["param"]): r["num"] for r in got.collect()}
+    assert num[("grain", "amount")] == pytest.approx(0.2) and num[("vhs", "luma_noise")] is None
+    assert rows(catalog.guardrail_hits(au, ft.guardrails(spark)), "effect_id", "param") == [("grain", "amount")]
+    caps = catalog.mode_cap_hits(au, keys, "mode", ft.MODE_CAPS, "sp", ft.OTHER_MODE_CAP, list(ft.CAPPED_PARAMS))
+    assert rows(caps, "effect_key", "param", "cap") == [("vhs", "luma_noise", 0.32)]
