@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cuelattice.llm import class_lm, language_id, line_chunks, pareto_mix, prefix_bpe, scaled_sketch, superminhash, token_orc, zstd_quality
+from cuelattice.llm import class_lm, language_id, line_chunks, nn_descent, pareto_mix, prefix_bpe, scaled_sketch, superminhash, token_orc, zstd_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.checksums(token_orc.read_tokens(spark, path))
 
 
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
