@@ -29,7 +29,7 @@ from cuelattice.session import materialize
 
 POSITIONS = 128
 BANDS, ROWS = 25, 5  # a pair at 0.85 shares no band with probability 4e-7, one at 0.8 with 6e-5
-BLOCK = 128
+BLOCK = 512
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
