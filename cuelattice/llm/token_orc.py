@@ -5,8 +5,8 @@ place within the shard and the ids as an integer list, which ORC stores run-leng
 parallel. Stripe statistics, row indexes and Bloom filters skip stripes and row groups for a filter on the id. A small index
 table beside the data has one row per shard; it turns places within a shard into places within the corpus.
 
-Words between white space are encoded by the tokenizer once per worker while they are frequent: white space is dropped by
-the tokenizer's own splitting, so a text's ids are its words' ids in a row.
+Words between white space, cut after their leading letters, are encoded by the tokenizer once per worker while they are
+frequent: the tokenizer drops white space and splits at both places itself, so a text's ids are its pieces' ids in a row.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; repeated rows follow each other; an empty table
 gives an empty data folder that still reads; other columns are not written.
@@ -34,6 +34,8 @@ WRITER = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 MEMO_ENTRIES = 700_000
+# The lower-case letters up to U+00FF.
+LATIN_LOWER = "a-zªµºß-öø-ÿ"
 
 
 class WordEncoder:
@@ -46,6 +48,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = re.compile(r"[^\t-\r ]+").findall
+        self.beyond_latin = re.compile("[^\x00-\xff]").search
+        self.latin = re.compile(f"[{LATIN_LOWER}]+|[^\t-\r ]+").findall
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
@@ -53,7 +57,8 @@ class WordEncoder:
         end = np.array([end_id], "<u4").tobytes()
         out = []
         for t in texts:
-            parts = self.words(t)
+            # Latin-1 texts are composed already and lower-case letter by letter; a leading run of letters is a piece of its own.
+            parts = self.words(t) if self.beyond_latin(t) else self.latin(t.lower())
             got = list(map(self.memo.get, parts))
             if None in got:
                 fresh = list(dict.fromkeys(p for p, g in zip(parts, got) if g is None))
