@@ -25,6 +25,8 @@ from cuelattice.llm.arrays import worker_memo
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # A blank and the word after it, else a run of white space: no match of the public patterns crosses these.
 CHUNK = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+# The letters up to U+00FF.
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 MEMO_ENTRIES = 700_000
 
 
@@ -170,6 +172,9 @@ class TextEncoder:
 
         self.bpe = PrefixBpe(read_ranks(ranks_path))
         self.chunks = re.compile(CHUNK).findall
+        # Where all letters are known a word's leading letters are a match of their own.
+        self.latin = re.compile(f" ?[{LATIN}]+|{CHUNK}").findall
+        self.beyond_latin = re.compile("[^\x00-\xff]").search
         self.matches = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
 
@@ -186,7 +191,7 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        parts = self.chunks(text)
+        parts = (self.chunks if self.beyond_latin(text) else self.latin)(text)
         got = list(map(self.memo.get, parts))
         return b"".join([self.chunk(s) if g is None else g for s, g in zip(parts, got)]) if None in got else b"".join(got)
 
