@@ -27,7 +27,9 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNK = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 # The letters up to U+00FF.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
+PAIR_ENTRIES = 300_000
+ROWS_AT_ONCE = 256  # rows whose ids are held before they are handed on
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,7 +84,7 @@ class PrefixBpe:
                 ends_x, x = x, px[1]
             else:
                 ends_y, y = y, py[0]
-        if len(self.known_pairs) >= 2 * MEMO_ENTRIES:
+        if len(self.known_pairs) >= PAIR_ENTRIES:
             self.known_pairs.clear()
         self.known_pairs[a, b] = good
         return good
@@ -205,25 +207,29 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_memo(("prefix bpe", ranks_path, pattern), lambda: TextEncoder(ranks_path, pattern))
-        for b in batches:
-            n, digest, back, same, ids = [], [], [], [], []
-            for t in b.column(1):
-                t = t.as_py() or ""
-                raw = enc.encode(t)
-                tokens = np.frombuffer(raw, dtype="<u4")
-                plain = enc.bpe.decode(tokens.tolist())
-                n.append(len(tokens))
-                digest.append(hashlib.sha256(raw).hexdigest())
-                back.append(hashlib.sha256(plain).hexdigest())
-                same.append(plain == t.encode("utf-8"))
-                if with_ids:
-                    ids.append(tokens.astype(np.int32))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
-            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "same_bytes"]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield encoded(enc, whole.slice(lo, ROWS_AT_ONCE))
+
+    def encoded(enc: TextEncoder, b: pa.RecordBatch) -> pa.RecordBatch:
+        n, digest, back, same, ids = [], [], [], [], []
+        for t in b.column(1):
+            t = t.as_py() or ""
+            raw = enc.encode(t)
+            tokens = np.frombuffer(raw, dtype="<u4")
+            plain = enc.bpe.decode(tokens.tolist())
+            n.append(len(tokens))
+            digest.append(hashlib.sha256(raw).hexdigest())
+            back.append(hashlib.sha256(plain).hexdigest())
+            same.append(plain == t.encode("utf-8"))
             if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                ids.append(tokens.astype(np.int32))
+        cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+        names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", "same_bytes"]
+        if with_ids:
+            cols.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.select(F.col(key).alias("key")).schema[0].dataType.simpleString()
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, same_bytes boolean" + ", ids array<int>" * with_ids
