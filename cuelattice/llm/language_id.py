@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelattice.llm.arrays import row_pieces, text_buffer
+from cuelattice.session import materialize
 
 DIM = 4096
 SAMPLE = 300  # texts per language that the classifier is fitted on
@@ -103,7 +104,8 @@ class Centroids:
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Centroids | None:
     """The classifier of the labelled rows, from ``sample`` texts a language at most; None without any."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
+    # Written first: its size is known to the planner then, and the texts need no shuffle to meet it.
+    sizes = materialize(rows.groupBy("lang").count(), "language-sizes")
     # About twice the sample by the hash's lower end, then exactly the sample: no language is ordered as a whole.
     few = rows.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(2.0 * sample * (1 << 30)) / F.col("count"))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= sample)

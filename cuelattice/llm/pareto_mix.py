@@ -31,7 +31,7 @@ def n_words(text: str | Column) -> Column:
 
 def unit_of(key: str | Column, seed: int) -> Column:
     """A number in (0, 1) that follows from the key alone, so reruns agree."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string") if isinstance(key, str) else key, F.lit("null")))), 1, UNIT_BITS // 4)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null")))), 1, UNIT_BITS // 4)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << UNIT_BITS))
 
 

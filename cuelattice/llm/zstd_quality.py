@@ -92,7 +92,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     rows = labelled(docs, labels, key, text, label)
-    sizes = rows.groupBy("y").count()
+    sizes = materialize(rows.groupBy("y").count(), "quality-sizes")
     share = {r["y"]: r["count"] for r in sizes.collect()}
     n1, n0 = share.get(1, 0), share.get(0, 0)
     flat = np.zeros(1), np.full(1, n1 / (n1 + n0) if n1 + n0 else 0.5)
