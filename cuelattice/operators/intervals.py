@@ -7,12 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuelattice.functions.scalars import edge_profile
 from cuelattice.operators.series import index_rows, running_sum, with_block
 
+# Longest list of frames that one row is expanded to at a time.
+PIECE = 1 << 14
+
 
 def on_grid(intervals: DataFrame, frame: str = "frame", k: str = "k") -> DataFrame:
-    """One row per frame an interval ``[start, start+dur)`` covers."""
-    return intervals.withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.col("dur").cast("long") - 1))).withColumn(
-        frame, F.col("start") + F.col(k)
-    )
+    """One row per frame an interval ``[start, start+dur)`` covers; an empty interval covers none."""
+    zero, last = F.lit(0).cast("long"), F.col("dur").cast("long") - 1
+    return expand(intervals.filter("dur > 0"), zero, last, k).withColumn(frame, F.col("start") + F.col(k))
+
+
+def expand(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """One row per whole number from ``first`` to ``last`` (not below it), in bounded pieces so that no long list is built."""
+    df = df.withColumn("_from", F.explode(F.sequence(first, last, F.lit(PIECE).cast("long")))).withColumn("_to", F.least(F.col("_from") + (PIECE - 1), last))
+    return df.withColumn(name, F.explode(F.sequence(F.col("_from"), F.col("_to")))).drop("_from", "_to")
 
 
 def strongest(cells: DataFrame, keys: list[str], level: str, attrs: list[str], tie: list[str]) -> DataFrame:
@@ -38,7 +46,7 @@ def active_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     found twice.
     """
     cut = lambda c: F.floor(c / F.lit(bucket)).cast("long")
-    iv = intervals.withColumn("_bk", F.explode(F.sequence(cut(F.col("start")), cut(F.col("start") + F.col("dur") - 1))))
+    iv = intervals.filter("dur > 0").withColumn("_bk", F.explode(F.sequence(cut(F.col("start")), cut(F.col("start") + F.col("dur") - 1))))
     pts = points.withColumn("_bk", cut(F.col(at)))
     return pts.join(iv, [*keys, "_bk"]).filter(
         (F.col(at) >= F.col("start")) & (F.col(at) < F.col("start") + F.col("dur"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelattice.functions.scalars import clip, db_to_lin, knee_reduction_db
+from cuelattice.operators.intervals import expand
 from cuelattice.operators.kernels import fold_blocks, follower
 from cuelattice.operators.series import (
     block_reduce, exact_percentiles, last_known, next_known, previous, running_max, running_sum, take_at, with_block,
@@ -144,7 +145,7 @@ def reassemble(slices: DataFrame, keys: list[str], bed: DataFrame, value: str, x
 
 def mix_at(base: DataFrame, keys: list[str], clips: DataFrame, lengths: DataFrame, value: str, out: str) -> DataFrame:
     """Add short clips ``(keys, start, len, amp)`` into the timeline, clipped to its ends."""
-    parts = clips.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
+    parts = expand(clips.filter("len > 0"), F.col("start").cast("long"), (F.col("start") + F.col("len") - 1).cast("long"), "idx")
     parts = parts.join(lengths, keys).filter((F.col("idx") >= 0) & (F.col("idx") < F.col("n")))
     both = base.select(*keys, "idx", F.col(value).alias("_x")).unionByName(parts.select(*keys, "idx", F.col("amp").alias("_x")))
     return both.groupBy(*keys, "idx").agg(F.sum("_x").alias(out))
@@ -156,7 +157,7 @@ def overwrite(df: DataFrame, keys: list[str], damage: DataFrame, value: str, out
     ``mute`` writes 0, ``hold`` the last value before the interval, ``stutter`` repeats the ``loop``
     rows before the interval.
     """
-    hit = damage.filter("stop > start").withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
+    hit = expand(damage.filter("stop > start"), F.col("start").cast("long"), (F.col("stop") - 1).cast("long"), "idx")
     hit = hit.groupBy(*keys, "idx").agg(F.max(F.struct("start", "kind", "loop")).alias("_d"))
     src = (
         F.when(F.col("_d.kind") == "hold", F.col("_d.start") - 1)

@@ -11,6 +11,8 @@ _SERIES: dict[tuple[str, str, int], DataFrame] = {}
 
 # Rows one bucket of the series table should hold.
 BUCKET_ROWS = 4_000_000
+# Spark refuses tables of more than 100,000 buckets; beyond this the buckets grow.
+MOST_BUCKETS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,7 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = with_block(index_rows(timed_events(spark, sf_dir), ["series_id"], ["t", "event_id"]), size)
         n = table(spark, sf_dir, "events").count()
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(min(least, 64), n // BUCKET_ROWS)
+        buckets = max(min(least, 64), min(n // BUCKET_ROWS, MOST_BUCKETS))
         _SERIES[memo] = materialize_bucketed(rows, "series", ["series_id", "block"], ["series_id", "block", "idx"], buckets)
     return _SERIES[memo]
 

@@ -86,9 +86,9 @@ def picture_inventory(spark, d):
     return doc.pictures(paths, "path").select("pack", "name").orderBy("pack", "name")
 
 
-@query("A4_store_totals", "SELECT count(*) AS files, coalesce(sum(p_size), 0)::BIGINT AS bytes, max(p_partkey) AS newest FROM part WHERE p_name LIKE '%ring'")
+@query("A4_store_totals", "SELECT count(*) AS files, coalesce(sum(p_size), 0)::BIGINT AS bytes, max(p_partkey) AS newest FROM part")
 def store_totals(spark, d):
-    return doc.store_totals(table(spark, d, "part").filter("p_name LIKE '%ring'"), "p_size", "p_partkey")
+    return doc.store_totals(table(spark, d, "part"), "p_size", "p_partkey")
 
 
 @query("A5_batch_progress", """SELECT o_custkey AS batch, round(coalesce(avg(CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderstatus IN ('F') THEN 1.0 WHEN o_orderstatus = 'P' THEN (o_orderkey % 100) / 100.0 ELSE 0.0 END), 0), 6) AS progress FROM orders GROUP BY 1""")
@@ -393,10 +393,10 @@ def byte_sizes(spark, d):
 
 
 @query("F23_placement", """SELECT doc_id, x0::BIGINT AS x0, y0::BIGINT AS y0, round(x0 / 1000.0, 4) AS left_edge, round((y0 + th) / 500.0, 4) AS bottom_edge FROM (SELECT *,
- round_even(CASE WHEN 950 - tw < 50 THEN wx ELSE least(greatest(wx, 50), 950 - tw) END, 0) AS x0, round_even(CASE WHEN 475 - th < 25 THEN wy ELSE least(greatest(wy, 25), 475 - th) END, 0) AS y0 FROM (SELECT doc_id, least(n_chars, 1200) AS tw, 18 + n_chars % 90 AS th,
- (doc_id % 11) / 10.0 * 1000 - least(n_chars, 1200) / 2.0 AS wx, (doc_id % 7) / 6.0 * 500 - (18 + n_chars % 90) / 2.0 AS wy FROM documents))""")
+ round_even(CASE WHEN 950 - tw < 50 THEN wx ELSE least(greatest(wx, 50), 950 - tw) END, 0) AS x0, round_even(CASE WHEN 475 - th < 25 THEN wy ELSE least(greatest(wy, 25), 475 - th) END, 0) AS y0 FROM (SELECT doc_id, n_chars AS tw, 18 + n_chars % 90 AS th,
+ (doc_id % 11) / 10.0 * 1000 - n_chars / 2.0 AS wx, (doc_id % 7) / 6.0 * 500 - (18 + n_chars % 90) / 2.0 AS wy FROM documents))""")
 def placement(spark, d):
-    tw, th = F.least(F.col("n_chars"), F.lit(1200)), F.lit(18) + F.col("n_chars") % 90
+    tw, th = F.col("n_chars"), F.lit(18) + F.col("n_chars") % 90
     x0 = sc.place(F.col("doc_id") % 11 / 10.0, tw, F.lit(1000), 0.05)
     y0 = sc.place(F.col("doc_id") % 7 / 6.0, th, F.lit(500), 0.05)
     return table(spark, d, "documents").select("doc_id", x0.alias("x0"), y0.alias("y0"), F.round(x0 / 1000.0, 4).alias("left_edge"), F.round((y0 + th) / 500.0, 4).alias("bottom_edge"))

@@ -7,6 +7,7 @@ its checkpoint.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,19 +31,44 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, batch_bytes: str |
     """A table folder as a stream: files that arrive later join in. ``batch_bytes`` bounds a micro-batch,
     and with it the rows of one key that a stateful step sorts at a time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return (reader if batch_bytes is None else reader.option("maxBytesPerTrigger", batch_bytes)).parquet(sf_dir)
+    reader = spark.readStream.schema(schema)
+    reader = reader if batch_bytes is None else reader.option("maxBytesPerTrigger", batch_bytes)
+    # A pattern may stand for one file as well as for a folder of part files.
+    return reader.parquet(f"{sf_dir}/{name}[.]parquet")
 
 
-def run_to_files(df: DataFrame, label: str) -> DataFrame:
-    """Drain what is available now into Parquet files (append, exactly once) and read them."""
+# A row of this time ends a bounded input: it moves the watermark past every open window.
+END_OF_INPUT = datetime.datetime(9999, 1, 1)
+
+
+def with_end(events: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The stream together with a folder, empty so far, that ``run_to_files`` puts the closing row into."""
+    spark = events.sparkSession
+    path = f"{scratch_dir(spark)}/stream/{label}-end-{uuid.uuid4().hex}"
+    spark.createDataFrame([], events.schema).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path)), path
+
+
+def run_to_files(df: DataFrame, label: str, end: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """Drain what is available now into Parquet files (append, exactly once) and read them.
+
+    ``end`` (the folder of ``with_end`` and its closing row) says that the input is complete: after the drain the row is
+    written and the query goes on from its checkpoint, so that windows still open are emitted too.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stream/{label}-{uuid.uuid4().hex}"
-    q = (
-        df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+
+    def drain() -> None:
+        q = (
+            df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+
+    drain()
+    if end is not None:
+        end[1].write.mode("append").parquet(end[0])
+        drain()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
@@ -51,6 +77,9 @@ def run_to_latest(df: DataFrame, label: str, keys: list[str], version: str) -> D
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stream/{label}-{uuid.uuid4().hex}"
 
+    # An empty input writes no batch; the reader needs a table all the same.
+    spark.createDataFrame([], df.schema).withColumn(version, F.lit(-1)).write.parquet(f"{path}/out/batch=-1")
+
     def put(batch: DataFrame, number: int) -> None:
         # One folder per batch, overwritten on a retry, keeps a repeated batch from counting twice.
         batch.withColumn(version, F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch={number}")

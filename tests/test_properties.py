@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cuelattice.functions import scalars as sc, text as tx
@@ -294,3 +295,44 @@ def test_layers_dials_and_audits_on_a_small_catalog(spark):
     assert rows(catalog.guardrail_hits(au, ft.guardrails(spark)), "effect_id", "param") == [("grain", "amount")]
     caps = catalog.mode_cap_hits(au, keys, "mode", ft.MODE_CAPS, "sp", ft.OTHER_MODE_CAP, list(ft.CAPPED_PARAMS))
     assert rows(caps, "effect_key", "param", "cap") == [("vhs", "luma_noise", 0.32)]
+
+
+def test_empty_and_long_intervals(spark):
+    from cuelattice.operators import intervals, mixing
+
+    iv = spark.createDataFrame([(5, 0), (7, 2), (0, 3_000_000)], "start long, dur long")
+    got = intervals.on_grid(iv)
+    assert got.filter("start IN (5, 7)").orderBy("frame").select("frame").collect() == [(7,), (8,)]
+    assert got.count() == 3_000_002 and got.agg({"frame": "max"}).first()[0] == 2_999_999
+    base = spark.range(10).selectExpr("1 AS c", "id AS idx", "0.0D AS x")
+    clips = spark.createDataFrame([(1, 5, 0, 1.0), (1, 2, 2, 1.0)], "c int, start long, len long, amp double")
+    n = spark.createDataFrame([(1, 10)], "c int, n long")
+    out = mixing.mix_at(base, ["c"], clips, n, "x", "y").filter("y > 0").orderBy("idx").select("idx").collect()
+    assert [r[0] for r in out] == [2, 3]
+
+
+def test_streams_over_a_folder(spark, sf_dir, tmp_path):
+    """The same rows from a folder of part files as from one file, and from an empty table none."""
+    import __spark_entry__ as entry
+
+    for name in ("events", "pages"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(4).write.parquet(str(tmp_path / f"{name}.parquet"))
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    for q in ("R1_tumbling_reduce", "R2_sliding_preview", "R3_session_episodes", "R4_carried_smoothing", "R5_min_gap_alerts", "R6_job_progress", "R7_latest_request"):
+        fn = entry.queries()[q]
+        one, many = (fn(spark, d).collect() for d in (sf_dir, str(tmp_path)))
+        assert sorted(map(str, one)) == sorted(map(str, many)) and one
+    for q in ("R1_tumbling_reduce", "R3_session_episodes", "R6_job_progress"):
+        assert entry.queries()[q](spark, str(tmp_path / "none")).count() == 0
+
+
+@given(st.lists(st.sampled_from(["a", "bc", "word", "longerword" * 3, " ", "  ", ".", "!?", '."', "\n", "\n\n", ")", ","]), max_size=60), st.integers(16, 60))
+@settings(max_examples=200, deadline=None)
+def test_script_chunks_fit_and_keep_the_text(parts, most):
+    from cuelattice.functions.text import chunk_script
+
+    text = "".join(parts)
+    chunks = chunk_script(text, most)
+    assert all(0 < len(c) <= most for c in chunks)
+    letters = lambda s: [c for c in s if c.isalpha()]
+    assert letters("".join(chunks)) == letters(text)
