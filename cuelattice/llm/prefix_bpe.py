@@ -185,9 +185,8 @@ class TextEncoder:
         for m in self.matches(s):
             ids += self.bpe.encode_piece(m.encode("utf-8"))
         out = np.array(ids, dtype="<u4").tobytes()
-        if len(s) <= 40:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+        # A full memo stays as it is: what came early is mostly what comes often.
+        if len(s) <= 40 and len(self.memo) < MEMO_ENTRIES:
             self.memo[s] = out
         return out
 

@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cuelattice.llm.arrays import worker_memo
+from cuelattice.llm.arrays import row_pieces, text_buffer, worker_memo
 from cuelattice.session import scratch_dir
 
 SCHEMA = "doc_id long, n_tokens long, place long, shard int, ids array<int>"
@@ -33,7 +34,8 @@ WRITER = {
     "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
+TEXT_BYTES = 2 << 20  # of the texts whose pieces are looked up together
 # The lower-case letters up to U+00FF.
 LATIN_LOWER = "a-zªµºß-öø-ÿ"
 
@@ -54,22 +56,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, the end id last."""
-        end = np.array([end_id], "<u4").tobytes()
-        out = []
-        for t in texts:
-            # Latin-1 texts are composed already and lower-case letter by letter; a leading run of letters is a piece of its own.
-            parts = self.words(t) if self.beyond_latin(t) else self.latin(t.lower())
-            got = list(map(self.memo.get, parts))
-            if None in got:
-                fresh = list(dict.fromkeys(p for p, g in zip(parts, got) if g is None))
-                codes = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-                new = dict(zip(fresh, codes))
-                got = [new[p] if g is None else g for p, g in zip(parts, got)]
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                self.memo.update((p, c) for p, c in new.items() if len(p) <= 40)
-            out.append(b"".join(got) + end)
-        return out
+        end = array("I", [end_id]).tobytes()
+        # Latin-1 texts are composed already and lower-case letter by letter; a leading run of letters is a piece of its own.
+        parts = [self.words(t) if self.beyond_latin(t) else self.latin(t.lower()) for t in texts]
+        got = [list(map(self.memo.get, p)) for p in parts]
+        fresh = list(dict.fromkeys(p for ps, gs in zip(parts, got) if None in gs for p, g in zip(ps, gs) if g is None))
+        codes = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)] if fresh else []
+        new = dict(zip(fresh, codes))
+        # A full memo stays as it is: what came early is mostly what comes often.
+        if len(self.memo) < MEMO_ENTRIES:
+            self.memo.update((p, c) for p, c in new.items() if len(p) <= 40)
+        return [b"".join([new[p] if g is None else g for p, g in zip(ps, gs)] if None in gs else gs) + end for ps, gs in zip(parts, got)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -79,8 +76,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
         enc = worker_memo(("word ids", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         place, shard = 0, TaskContext.get().partitionId()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, hi in row_pieces(text_buffer(b.column(1))[1], TEXT_BYTES):
+                part = b.slice(lo, hi - lo)
                 raw = enc.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 n = np.array([len(r) // 4 for r in raw], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
