@@ -392,7 +392,7 @@ def byte_sizes(spark, d):
     return table(spark, d, "documents").select("doc_id", sc.download_size(n * 4099).alias("big"), sc.file_size(n * 409).alias("small"))
 
 
-@query("F23_placement", """SELECT doc_id, x0::BIGINT AS x0, y0::BIGINT AS y0, round(x0 / 1000.0, 4) AS left_edge, round((y0 + th) / 500.0, 4) AS bottom_edge FROM (SELECT *,
+@query("F23_placement", """SELECT doc_id, x0::BIGINT AS x0, y0::BIGINT AS y0, round(x0::BIGINT / 1000.0, 4) AS left_edge, round((y0 + th) / 500.0, 4) AS bottom_edge FROM (SELECT *,
  round_even(CASE WHEN 950 - tw < 50 THEN wx ELSE least(greatest(wx, 50), 950 - tw) END, 0) AS x0, round_even(CASE WHEN 475 - th < 25 THEN wy ELSE least(greatest(wy, 25), 475 - th) END, 0) AS y0 FROM (SELECT doc_id, n_chars AS tw, 18 + n_chars % 90 AS th,
  (doc_id % 11) / 10.0 * 1000 - n_chars / 2.0 AS wx, (doc_id % 7) / 6.0 * 500 - (18 + n_chars % 90) / 2.0 AS wy FROM documents))""")
 def placement(spark, d):
