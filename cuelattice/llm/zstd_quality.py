@@ -84,14 +84,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return m[:, 1] / m[:, 0], m[:, 2] / m[:, 0]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(k, y) of the labelled documents; no text is read."""
     side = labels.select(F.col(key).alias("lk"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)").distinct()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("text IS NOT NULL AND text != ''")
-    return rows.join(side, F.col("k") == F.col("lk")).select("k", "text", "y")
+    return docs.select(F.col(key).alias("k")).distinct().join(side, F.col("k") == F.col("lk")).select("k", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    rows = labelled(docs, labels, key, text, label)
+    rows = materialize(labelled(docs, labels, key, label), "quality-labels")
     sizes = materialize(rows.groupBy("y").count(), "quality-sizes")
     share = {r["y"]: r["count"] for r in sizes.collect()}
     n1, n0 = share.get(1, 0), share.get(0, 0)
@@ -102,6 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     want = SAMPLE + CALIBRATION
     rows = rows.join(sizes, "y").withColumn("h", F.xxhash64(F.lit("quality"), "k"))
     few = rows.filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(1.5 * want * (1 << 30)) / F.col("count"))
+    # The few are written before they meet the texts: the planner knows their size then, and no text is shuffled for them.
+    few = materialize(few, "quality-few")
+    texts = docs.select(F.col(key).alias("tk"), F.col(text).alias("text")).filter("text IS NOT NULL AND text != ''")
+    few = few.join(texts, F.col("k") == F.col("tk")).drop("tk")
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).filter(F.col("r") <= want)
     cut = F.least(F.lit(SAMPLE), F.floor(F.least(F.col("count"), F.lit(want)) / 2))
     few = few.withColumn("for_dictionary", F.col("r") <= cut).select("y", "r", "for_dictionary", "text")
