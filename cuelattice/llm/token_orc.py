@@ -6,7 +6,9 @@ parallel. Stripe statistics, row indexes and Bloom filters skip stripes and row
 table beside the data has one row per shard; it turns places within a shard into places within the corpus.
 
 Words between white space, cut after their leading letters, are encoded by the tokenizer once per worker while they are
-frequent: the tokenizer drops white space and splits at both places itself, so a text's ids are its pieces' ids in a row.
+frequent: the tokenizer drops white space and splits at both places itself, so a text's ids are its pieces' ids in a row. A piece
+of lower-case letters alone is already what the tokenizer's normaliser and splitter would make of it, so its bytes go to the
+tokenizer's model at once.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; repeated rows follow each other; an empty table
 gives an empty data folder that still reads; other columns are not written.
@@ -40,6 +42,13 @@ TEXT_BYTES = 2 << 20  # of the texts whose pieces are looked up together
 LATIN_LOWER = "a-zªµºß-öø-ÿ"
 
 
+def shown_bytes() -> dict[int, str]:
+    """The character by which byte-level models write each byte: itself where it prints, else the next one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of texts; encodings of words are kept up to a bound."""
 
@@ -52,8 +61,21 @@ class WordEncoder:
         self.words = re.compile(r"[^\t-\r ]+").findall
         self.beyond_latin = re.compile("[^\x00-\xff]").search
         self.latin = re.compile(f"[{LATIN_LOWER}]+|[^\t-\r ]+").findall
+        self.letters = re.compile(f"[{LATIN_LOWER}]+").fullmatch
+        self.shown = shown_bytes()
         self.memo: dict[str, bytes] = {}
 
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if self.letters(p)]
+        tokenize = self.tokenizer.model.tokenize
+        bare = (p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in plain)
+        codes = {p: array("I", [t.id for t in tokenize(b)]).tobytes() for p, b in zip(plain, bare)}
+        other = [p for p in pieces if p not in codes]
+        if other:
+            encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+            codes.update((p, array("I", e.ids).tobytes()) for p, e in zip(other, encoded))
+        return codes
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, the end id last."""
         end = array("I", [end_id]).tobytes()
@@ -61,8 +83,7 @@ class WordEncoder:
         parts = [self.words(t) if self.beyond_latin(t) else self.latin(t.lower()) for t in texts]
         got = [list(map(self.memo.get, p)) for p in parts]
         fresh = list(dict.fromkeys(p for ps, gs in zip(parts, got) if None in gs for p, g in zip(ps, gs) if g is None))
-        codes = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)] if fresh else []
-        new = dict(zip(fresh, codes))
+        new = self.encode_pieces(fresh)
         # A full memo stays as it is: what came early is mostly what comes often.
         if len(self.memo) < MEMO_ENTRIES:
             self.memo.update((p, c) for p, c in new.items() if len(p) <= 40)
