@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuelattice.functions.scalars import clip
 from cuelattice.operators.series import index_rows, running_sum, with_block
+from cuelattice.session import materialize, spread
 
 TRUE_WORDS = ("1", "true", "yes", "on")
 
@@ -234,26 +235,44 @@ def facet_filter(df: DataFrame, families: list[str], decade: str | None, favouri
     return df if favourites is None else df.join(favourites.select(key), key, "left_semi")
 
 
-def closest(unknown: DataFrame, known: DataFrame, text: str, candidate: str, n: int = 3, most: int = 2) -> DataFrame:
-    """The ``n`` nearest known ids to each unknown one, by edit distance up to ``most``.
+# Names that one block of the known ids holds on average.
+NAMES_PER_BLOCK = 4096
 
-    Two texts within edit distance d share a deletion neighbourhood of depth d, so candidates meet
-    in an equi-join on deletion variants: work follows the true neighbours, not all pairs.
+
+def closest(unknown: DataFrame, known: DataFrame, text: str, candidate: str, n: int = 3, near: int = 2) -> DataFrame:
+    """The ``n`` nearest known ids to each unknown one by edit distance, ties to the smaller id; fewer only where fewer are known.
+
+    Two texts within edit distance d share a deletion neighbourhood of depth d, so candidates up to ``near`` meet in an
+    equi-join on deletion variants. Only texts with fewer than ``n`` such candidates go on to the blocks of all known ids, and
+    take ``n`` from each block; a text answered nearby never meets them. Null ids take no part; repeated ids count once.
     """
-    pairs = _deletion_pairs(unknown.select(text).distinct(), known.select(candidate).distinct(), text, candidate, most)
-    scored = pairs.withColumn("distance", F.levenshtein(text, candidate)).filter(F.col("distance") <= most)
-    first = scored.groupBy(text).agg(F.min(F.struct("distance", candidate)).alias("_m"))
-    out = first.select(text, F.lit(1).alias("rank"), "_m.*")
-    left = scored
-    for r in range(2, n + 1):
-        # Each round removes the nearest and takes the next: a hot text needs no sort in one task.
-        taken = out.filter(F.col("rank") == r - 1).select(text, candidate)
-        left = left.join(taken, [text, candidate], "left_anti")
-        nxt = left.groupBy(text).agg(F.min(F.struct("distance", candidate)).alias("_m"))
-        out = out.unionByName(nxt.select(text, F.lit(r).alias("rank"), "_m.*"))
+    asked = materialize(unknown.select(text).filter(F.col(text).isNotNull()).distinct(), "asked")
+    names = materialize(known.select(candidate).filter(F.col(candidate).isNotNull()).distinct(), "known")
+    pairs = _deletion_pairs(asked, names, text, candidate, near)
+    nearby = materialize(pairs.withColumn("distance", F.levenshtein(text, candidate)).filter(F.col("distance") <= near), "nearby")
+    answered = nearby.groupBy(text).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select(text)
+    far = _from_blocks(asked.join(answered, text, "left_anti"), names, text, candidate, n)
+    left = materialize(nearby.join(answered, text, "left_semi").unionByName(far), "candidates")
+    out = None
+    for r in range(1, n + 1):
+        # Each round takes the nearest and removes it: a hot text needs no sort in one task.
+        first = left.groupBy(text).agg(F.min(F.struct("distance", candidate)).alias("_m")).select(text, F.lit(r).alias("rank"), "_m.*")
+        out = first if out is None else out.unionByName(first)
+        left = left.join(first.select(text, candidate), [text, candidate], "left_anti")
     return out
 
 
+def _from_blocks(asked: DataFrame, names: DataFrame, text: str, candidate: str, n: int) -> DataFrame:
+    """The ``n`` nearest of each block of ``names`` to every text, compared inside one row's expression."""
+    blocks = -(-names.count() // NAMES_PER_BLOCK)
+    if not blocks:
+        return asked.select(text, F.lit(None).cast("string").alias(candidate), F.lit(None).cast("int").alias("distance")).filter("false")
+    listed = names.groupBy(F.pmod(F.xxhash64(candidate), F.lit(blocks)).alias("_kb")).agg(F.collect_list(candidate).alias("_names"))
+    met = spread(asked, text).withColumn("_kb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(listed, "_kb")
+    scored = F.transform("_names", lambda c: F.struct(F.levenshtein(F.col(text), c).alias("distance"), c.alias(candidate)))
+    return met.select(text, F.explode(F.slice(F.array_sort(scored), 1, n)).alias("_s")).select(text, f"_s.{candidate}", "_s.distance")
+
+
 def deletions(text: Column, depth: int) -> Column:
     """All strings reached by deleting up to ``depth`` characters."""
     level = F.array(text)

@@ -289,13 +289,13 @@ def saved_items(spark, d):
 
 
 NEAR_SQL = """names AS (SELECT DISTINCT p_name AS candidate FROM part), typo AS (SELECT DISTINCT substr(candidate, 1, 1) || substr(candidate, 3) AS asked FROM names),
-rk AS (SELECT asked, candidate, levenshtein(asked, candidate) AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(asked, candidate), candidate) AS rank FROM typo, names WHERE levenshtein(asked, candidate) <= 2)"""
+rk AS (SELECT asked, candidate, levenshtein(asked, candidate) AS distance, row_number() OVER (PARTITION BY asked ORDER BY levenshtein(asked, candidate), candidate) AS rank FROM typo, names)"""
 
 
 def suggestions(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("candidate")).distinct()
     typo = names.select(F.concat(F.left("candidate", F.lit(1)), F.expr("substr(candidate, 3)")).alias("asked")).distinct()
-    return ca.closest(typo, names, "asked", "candidate", n=3, most=2)
+    return ca.closest(typo, names, "asked", "candidate", n=3)
 
 
 @query("J20_fuzzy_suggestion", f"WITH {NEAR_SQL} SELECT asked, candidate, distance FROM rk WHERE rank = 1")
@@ -312,7 +312,7 @@ def closest_three(spark, d):
 
 @query("S2_catalog_write", f"""WITH {AU_SQL}, st AS (SELECT job, pos, {{'pos': pos, 'which': which, 'effect_id': effect_id, 'params': list({{'param': param, 'value': value}} ORDER BY param)}} AS s
   FROM aut JOIN ch USING (job, which, effect_key, effect_id) GROUP BY job, which, effect_key, effect_id, pos)
-SELECT job, 0::BIGINT AS part, to_json({{'chain': list(s ORDER BY pos)}})::VARCHAR AS document FROM st GROUP BY job""")
+SELECT job, to_json({{'chain': list(s ORDER BY pos)}})::VARCHAR AS document FROM st GROUP BY job""")
 def catalog_write(spark, d):
     return doc.catalog_documents(ci.steps(spark, d), ci.authored(spark, d), "job", KEYS)
 

@@ -10,7 +10,7 @@ from cuelattice.functions.keyed import white
 from cuelattice.functions.scalars import overlaps
 from cuelattice.operators.schedules import SPINE_BLOCK, activation, hann_taps, smooth_track
 from cuelattice.operators.series import episodes
-from cuelattice.plans.inputs import table
+from cuelattice.plans.inputs import seconds, table
 from cuelattice.session import BLOCK_ROWS_KEY, materialize
 
 KEYS = ["clip_id"]
@@ -20,9 +20,10 @@ FPS = 1.0 / 3600.0
 
 
 def user_clips(spark: SparkSession, d: str) -> DataFrame:
-    """One clip per user: a 30-day tape of one frame an hour."""
-    users = table(spark, d, "events").select(F.col("user_id").alias("clip_id")).distinct()
-    return users.withColumn("n_frames", F.lit(720).cast("long")).withColumn("seed", F.col("clip_id") % 10 + 77).withColumn("fps", F.lit(FPS))
+    """One clip per user: a tape of one frame an hour, up to the hour of the user's last event."""
+    last = F.floor(F.max(seconds()) / 3600).cast("long") + 1
+    users = table(spark, d, "events").groupBy(F.col("user_id").alias("clip_id")).agg(F.greatest(last, F.lit(1).cast("long")).alias("n_frames"))
+    return users.withColumn("seed", F.col("clip_id") % 10 + 77).withColumn("fps", F.lit(FPS))
 
 
 def activations(clips: DataFrame, key: str = "trgate") -> DataFrame:
@@ -78,6 +79,11 @@ def _u(*parts: str) -> str:
     return f"(('0x' || substr(sha256({text}), 1, 13))::BIGINT::DOUBLE / 4503599627370496)"
 
 
+# The clips in SQL; ``FRAMES`` lists a clip's frames as ``i.i``.
+USERS = "u AS MATERIALIZED (SELECT user_id AS clip_id, greatest(max(epoch_us(ts) - 1704067200000000) // 3600000000 + 1, 1)::BIGINT AS n_frames FROM events GROUP BY 1)"
+FRAMES = "u, unnest(range(0, n_frames)) i(i)"
+
+
 def track_sql(key: str) -> str:
     """CTEs ``g``, ``f`` and ``tr``: the smooth track of every user clip."""
     args = ("(clip_id % 10 + 77)", "clip_id", f"'{key}'", "i.i")
@@ -87,8 +93,8 @@ def track_sql(key: str) -> str:
         f"{'lag' if k <= 0 else 'lead'}(g, {abs(k)}) OVER w * {t!r}" for k, t in zip(range(-HALF, HALF + 1), taps)
     )
     return (
-        f"u AS (SELECT DISTINCT user_id AS clip_id FROM events), g AS MATERIALIZED (SELECT clip_id, i.i AS idx, {gauss} AS g FROM u, range({-HALF}, {720 + HALF}) i(i)), "
-        f"f AS MATERIALIZED (SELECT * FROM (SELECT clip_id, idx, {fir} AS f FROM g WINDOW w AS (PARTITION BY clip_id ORDER BY idx)) WHERE idx >= 0 AND idx < 720), "
+        f"{USERS}, g AS MATERIALIZED (SELECT clip_id, n_frames, i.i AS idx, {gauss} AS g FROM u, unnest(range({-HALF}, n_frames + {HALF})) i(i)), "
+        f"f AS MATERIALIZED (SELECT * FROM (SELECT clip_id, n_frames, idx, {fir} AS f FROM g WINDOW w AS (PARTITION BY clip_id ORDER BY idx)) WHERE idx >= 0 AND idx < n_frames), "
         "tr AS MATERIALIZED (SELECT clip_id, idx, f / (p + 1e-9) AS track FROM f JOIN (SELECT clip_id, quantile_cont(abs(f), 0.95) AS p FROM f GROUP BY 1) USING (clip_id))"
     )
 

@@ -10,13 +10,12 @@ from cuelattice.functions import keyed, scalars as sc
 from cuelattice.operators import edits as ed, intervals as iv, kernels as kn, mixing as mx, schedules as sd, series as se
 from cuelattice.plans import event_plan as ep
 from cuelattice.plans.catalog_inputs import CH_SQL, steps
-from cuelattice.plans.event_plan import ACT_SQL, PLAN_SQL, _u, track_sql, user_clips
+from cuelattice.plans.event_plan import ACT_SQL, FRAMES, PLAN_SQL, USERS, _u, track_sql, user_clips
 from cuelattice.plans.inputs import S_SQL, event_series, series_lengths, table, timed_events
 from cuelattice.plans.registry import query
 
 C = ["clip_id"]
 SEED_SQL = "(clip_id % 10 + 77)"
-USERS = "u AS (SELECT DISTINCT user_id AS clip_id FROM events)"
 
 
 def q(s: str) -> str:
@@ -30,12 +29,12 @@ def keyed_draw(spark, d):
     return table(spark, d, "events").select("event_id", F.round(keyed.uniform(7, F.col("user_id"), "hits", F.col("event_id")), 9).alias("u"))
 
 
-@query("G11_spine", f"WITH {USERS} SELECT clip_id, i.i AS idx FROM u, range(0, 720) i(i)")
+@query("G11_spine", f"WITH {USERS} SELECT clip_id, i.i AS idx FROM {FRAMES}")
 def spine(spark, d):
     return sd.spine(user_clips(spark, d), C, "n_frames").select("clip_id", "idx")
 
 
-@query("G2_white_track", f"WITH {USERS} SELECT clip_id, i.i AS idx, round({_u(SEED_SQL, 'clip_id', q('w'), 'i.i')} * 2 - 1, 6) + 0.0 AS v FROM u, range(0, 720) i(i)")
+@query("G2_white_track", f"WITH {USERS} SELECT clip_id, i.i AS idx, round({_u(SEED_SQL, 'clip_id', q('w'), 'i.i')} * 2 - 1, 6) + 0.0 AS v FROM {FRAMES}")
 def white_track(spark, d):
     g = sd.spine(user_clips(spark, d), C, "n_frames")
     return g.select("clip_id", "idx", sc.r6(keyed.white(F.col("seed"), F.col("clip_id"), "w", F.col("idx"))).alias("v"))
@@ -52,7 +51,7 @@ def onef_sql(key: str, alpha: float, octaves: int) -> str:
         f"({_u(SEED_SQL, 'clip_id', q(f'{key}/{o}'), f'(i.i // {2 ** o})')} * 2 - 1) * {2.0 ** (o * (alpha - 1.0) / 2.0)!r}" for o in range(octaves)
     )
     return (
-        f"o AS MATERIALIZED (SELECT clip_id, i.i AS idx, {total} AS o FROM u, range(0, 720) i(i)), "
+        f"o AS MATERIALIZED (SELECT clip_id, i.i AS idx, {total} AS o FROM {FRAMES}), "
         "tr1 AS MATERIALIZED (SELECT clip_id, idx, o / (p + 1e-9) AS track FROM o JOIN (SELECT clip_id, quantile_cont(abs(o), 0.95) AS p FROM o GROUP BY 1) USING (clip_id))"
     )
 
@@ -63,7 +62,7 @@ def onef_track(spark, d):
     return g.select("clip_id", "idx", sc.r6(F.col("v")).alias("v"))
 
 
-MASK_SQL = f"m AS MATERIALIZED (SELECT clip_id, i.i AS idx FROM u, range(0, 720) i(i) WHERE {_u(SEED_SQL, 'clip_id', q('tear'), 'i.i')} < 0.08)"
+MASK_SQL = f"m AS MATERIALIZED (SELECT clip_id, i.i AS idx FROM {FRAMES} WHERE {_u(SEED_SQL, 'clip_id', q('tear'), 'i.i')} < 0.08)"
 
 
 def mask(spark, d):
@@ -80,12 +79,12 @@ def sparse_mask(spark, d):
 CELL, PER_MIN = 43200.0, 0.004
 LAM = PER_MIN / 60.0 * CELL
 POISSON_SQL = f"""th AS (SELECT unnest({keyed.poisson_thresholds(LAM)!r}::DOUBLE[]) AS c),
- pc AS (SELECT clip_id, cell, (SELECT count(*) FROM th WHERE c <= un) AS n FROM (SELECT clip_id, i.i AS cell, {_u(SEED_SQL, 'clip_id', q('hold'), 'i.i', q('n'))} AS un FROM u, range(0, 60) i(i))),
- pt AS MATERIALIZED (SELECT clip_id, cell, j.j AS draw, (cell + {_u(SEED_SQL, 'clip_id', q('hold'), 'cell', 'j.j')}) * {CELL} AS t FROM pc JOIN range(1, 100) j(j) ON j.j <= n)"""
+ pc AS (SELECT clip_id, n_frames, cell, (SELECT count(*) FROM th WHERE c <= un) AS n FROM (SELECT clip_id, n_frames, i.i AS cell, {_u(SEED_SQL, 'clip_id', q('hold'), 'i.i', q('n'))} AS un FROM u, unnest(range(0, ceil(n_frames * 3600 / {CELL})::BIGINT)) i(i))),
+ pt AS MATERIALIZED (SELECT * FROM (SELECT clip_id, n_frames, cell, j.j AS draw, (cell + {_u(SEED_SQL, 'clip_id', q('hold'), 'cell', 'j.j')}) * {CELL} AS t FROM pc JOIN range(1, 100) j(j) ON j.j <= n) WHERE t < n_frames * 3600)"""
 
 
 def poisson_times(spark, d):
-    clips = user_clips(spark, d).withColumn("duration", F.lit(30 * 86400.0))
+    clips = user_clips(spark, d).withColumn("duration", F.col("n_frames") / F.col("fps"))
     return sd.poisson_times(clips, C, "hold", PER_MIN, CELL)
 
 

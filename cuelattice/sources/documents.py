@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuelattice import schemas
 
-# Steps one catalog document holds; a longer chain continues in the next part.
-STEPS_PER_DOCUMENT = 1000
-
 
 def step_structs(steps: DataFrame, authored: DataFrame, keys: list[str]) -> DataFrame:
     """Each step with its authored parameters in name order (a step has few)."""
@@ -19,13 +16,10 @@ def step_structs(steps: DataFrame, authored: DataFrame, keys: list[str]) -> Data
 
 
 def catalog_documents(steps: DataFrame, authored: DataFrame, job: str, keys: list[str]) -> DataFrame:
-    """One nested JSON document per job; very long chains are cut into numbered parts."""
-    full = step_structs(steps, authored, keys).withColumn(
-        "part", F.floor(F.col("pos") / F.lit(STEPS_PER_DOCUMENT)).cast("long")
-    )
+    """One nested JSON document per job, whatever its length: the document is one value of one row."""
     step = F.struct("pos", "which", "effect_id", "params")
-    docs = full.groupBy(job, "part").agg(F.sort_array(F.collect_list(step)).alias("chain"))
-    return docs.select(job, "part", F.to_json(F.struct("chain")).alias("document"))
+    docs = step_structs(steps, authored, keys).groupBy(job).agg(F.sort_array(F.collect_list(step)).alias("chain"))
+    return docs.select(job, F.to_json(F.struct("chain")).alias("document"))
 
 
 def read_catalog_documents(docs: DataFrame, job: str) -> DataFrame:

@@ -336,3 +336,27 @@ def test_script_chunks_fit_and_keep_the_text(parts, most):
     assert all(0 < len(c) <= most for c in chunks)
     letters = lambda s: [c for c in s if c.isalpha()]
     assert letters("".join(chunks)) == letters(text)
+
+
+def test_closest_ranks_far_names_too(spark, monkeypatch):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(0, 9))) for _ in range(60)}) + [None, "abc", "abc"]
+    asked = ["abcd", "", "zzzzzzzzzzzzzzzz", None, "abcd"]
+    monkeypatch.setattr(catalog, "NAMES_PER_BLOCK", 7)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = []
+    for a in {x for x in asked if x is not None}:
+        ranked = sorted((distance(a, b), b) for b in {x for x in names if x is not None})
+        want += [(a, r, b, d) for r, (d, b) in enumerate(ranked[:3], 1)]
+    ask, know = spark.createDataFrame([(a,) for a in asked], "asked STRING"), spark.createDataFrame([(b,) for b in names], "name STRING")
+    assert rows(catalog.closest(ask, know, "asked", "name"), "asked", "rank", "name", "distance") == sorted(want)
+    assert not catalog.closest(ask, know.filter("false"), "asked", "name").collect()
+    assert not catalog.closest(ask.filter("false"), know, "asked", "name").collect()
