@@ -141,9 +141,8 @@ def guardrails(spark, d):
 
 
 CAPS = {"A": 0.03, "R": 0.05}
-J7_SQL = """(SELECT c.job, c.which, c.effect_key, u.param, m.value AS mode, CASE m.value WHEN 'A' THEN 0.03 WHEN 'R' THEN 0.05 ELSE 0.07 END AS cap, TRY_CAST(u.value AS DOUBLE) AS amount
-  FROM ch c JOIN aut m ON m.job = c.job AND m.which = c.which AND m.effect_key = c.effect_key AND m.param = 'mode'
-  JOIN aut u ON u.job = c.job AND u.which = c.which AND u.effect_key = c.effect_key AND u.param IN ('discount', 'tax'))"""
+J7_SQL = """(SELECT m.job, m.which, m.effect_key, u.param, m.value AS mode, CASE m.value WHEN 'A' THEN 0.03 WHEN 'R' THEN 0.05 ELSE 0.07 END AS cap, TRY_CAST(u.value AS DOUBLE) AS amount
+  FROM (SELECT * FROM aut WHERE param = 'mode') m JOIN (SELECT * FROM aut WHERE param IN ('discount', 'tax')) u USING (job, which, effect_key))"""
 
 
 @query("J7_mode_caps", f"WITH {AU_SQL} SELECT {KCOLS}, param, mode, cap, amount FROM {J7_SQL} WHERE amount > cap")
