@@ -335,3 +335,12 @@ def test_pipeline_on_hard_rows(spark, docs, none):
         for _, stage in corpus_pipeline.STAGES:
             seen = stage(spark, seen, "")
         seen.count()
+
+
+def test_word_encoder_equals_the_tokenizer_on_odd_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = token_orc.WordEncoder(path)
+    odd = ["ªºµ ß ÀÉ ñandú ça", "x́ ﬁ Ǆ", "naïveté’s it's 12ab <|endoftext|> startoftext", "İ É a\u0085b\x1cc", "Ÿÿ", "a" * 5000, "½²³", "", " \t\n", "don't DON'T we'll"]
+    want = [e.ids + [1] for e in enc.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    for _ in range(2):  # fresh, then from the memo
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(odd, 1)] == want
