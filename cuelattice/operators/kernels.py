@@ -1,10 +1,10 @@
 """State-dependent recursions, cut into blocks that run at the same time.
 
 Spark shuffles and sorts rows by ``(keys, block)`` and a small Python loop walks them batch by
-batch, holding one batch and one state at a time. A block first runs cold; its end state becomes the next block's start; blocks whose start
-turned out different run again. When no start changes any more the outcome is the plain sequential
-one, however long the series is. Nothing is skipped if a recursion forgets slowly: it only takes
-more rounds.
+batch, holding one batch and one state at a time. A block first runs cold; its end state becomes the next block's start, and all
+blocks run again from there. What still changes after that are runs of blocks of a recursion that forgets slowly: one task walks a run
+and the blocks behind it, carrying the state on until it agrees with the one known. When no start changes any more the outcome is the
+plain sequential one, however long the series is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cuelattice.session import materialize, spread
 
@@ -22,35 +22,22 @@ from cuelattice.session import materialize, spread
 Kernel = Callable[[dict[str, list], list[float] | None], tuple[np.ndarray, list[float]]]
 
 
+# Blocks behind a changed run that its task may walk on into; doubled every round.
+LOOK_AHEAD = 16
+
+
 def fold_blocks(
     df: DataFrame, keys: list[str], inputs: list[str], kernel: Kernel, out: str, tol: float = 0.0
 ) -> DataFrame:
-    """Add ``out``: the kernel's output per row. Starts that differ by at most ``tol`` count as equal."""
-    key_fields = [df.schema[k] for k in keys] + [T.StructField("block", T.LongType())]
-    end_schema = T.StructType([*key_fields, T.StructField("end", T.ArrayType(T.DoubleType()))])
-    out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    group = [*keys, "block"]
-
-    def in_order(rows: DataFrame) -> DataFrame:
-        return spread(rows, *group).sortWithinPartitions(*group, "idx")
-
-    def ends_of(rows: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            open_key, state = None, None
-            for pdf, spans in _spans(batches, group):
-                done = []
-                for key, lo, hi in spans:
-                    if key != open_key:
-                        if open_key is not None:
-                            done.append((*open_key, state))
-                        open_key, state = key, _start(pdf, lo)
-                    _, state = kernel(_slice(pdf, inputs, lo, hi), state)
-                if done:
-                    yield pd.DataFrame(done, columns=[*group, "end"])
-            if open_key is not None:
-                yield pd.DataFrame([(*open_key, state)], columns=[*group, "end"])
+    """Add ``out``: the kernel's output per row. Starts that differ by at most ``tol`` count as equal.
 
-        return in_order(rows.select(*group, "idx", *inputs, "start")).mapInPandas(run, end_schema)
+    The input is written once; every round reads it back instead of computing it again.
+    """
+    df = materialize(df, "folded")
+    group = [*keys, "block"]
+    out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    slim = df.select(*group, "idx", *inputs)
+    starts = None if slim.filter("block > 0").isEmpty() else _starts(slim, keys, inputs, kernel, tol)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, state = None, None
@@ -58,16 +45,91 @@ def fold_blocks(
             parts = []
             for key, lo, hi in spans:
                 if key != open_key:
-                    open_key, state = key, _start(pdf, lo)
+                    open_key, state = key, _state_at(pdf, "_start", lo)
                 y, state = kernel(_slice(pdf, inputs, lo, hi), state)
                 parts.append(y)
-            yield pdf.drop(columns="start").assign(**{out: np.concatenate(parts)})
+            yield pdf.drop(columns="_start").assign(**{out: np.concatenate(parts)})
 
-    slim = df.select(*group, "idx", *inputs)
-    starts = _starts(slim, keys, ends_of, tol)
     none = F.lit(None).cast("array<double>")
-    joined = df.withColumn("start", none) if starts is None else df.join(starts, group, "left").select(*df.columns, "start")
-    return in_order(joined).mapInPandas(emit, out_schema)
+    joined = df.withColumn("_start", none) if starts is None else df.join(starts, group, "left").select(*df.columns, "_start")
+    return spread(joined, *group).sortWithinPartitions(*group, "idx").mapInPandas(emit, out_schema)
+
+
+def _starts(slim: DataFrame, keys: list[str], inputs: list[str], kernel: Kernel, tol: float) -> DataFrame:
+    """The start state of every block."""
+    group, none = [*keys, "block"], F.lit(None).cast("array<double>")
+    cold = slim.withColumns({"_run": F.col("block"), "_moved": F.lit(True), "_start": none, "_used": none, "_end": none})
+    state = materialize(_walk(cold, keys, inputs, kernel, tol), "ends")
+    reach = 0
+    while True:
+        due = materialize(_due(state, keys, reach, tol), "due")
+        if due.isEmpty():
+            return state.select(*group, F.col("_used").alias("_start"))
+        redone = _walk(slim.join(due, group), keys, inputs, kernel, tol)
+        state = materialize(state.join(due, group, "left_anti").unionByName(redone), "ends")
+        reach = reach * 2 or LOOK_AHEAD
+
+
+def _due(state: DataFrame, keys: list[str], reach: int, tol: float) -> DataFrame:
+    """Blocks whose start is no longer the end of the block before, and up to ``reach`` blocks behind each.
+
+    Adjacent ones form a run for one task; without a reach every block is a run of its own.
+    """
+    w = Window.partitionBy(*keys).orderBy("block")
+    gap = F.aggregate(
+        F.zip_with("_start", "_used", lambda a, b: F.when(a.eqNullSafe(b), 0.0).otherwise(F.abs(a - b))),
+        F.lit(0.0), lambda m, g: F.greatest(m, g),
+    )
+    moved = F.col("_start").isNotNull() & (F.col("_used").isNull() | (F.size("_start") != F.size("_used")) | (gap > tol))
+    rows = state.withColumn("_start", F.lag("_end").over(w)).withColumn("_at", F.row_number().over(w)).withColumn("_moved", moved)
+    rows = rows.withColumn("_last", F.max(F.when(F.col("_moved"), F.col("_at"))).over(w))
+    near = F.coalesce(F.col("_at") - F.col("_last") <= reach, F.lit(False))
+    rows = rows.withColumn("_new", near & ~F.lag(near, 1, False).over(w))
+    run = F.sum(F.col("_new").cast("long")).over(w) if reach else F.col("block")
+    return rows.withColumn("_run", run).filter(near).select(*keys, "block", "_run", "_moved", "_start", "_used", "_end")
+
+
+def _walk(rows: DataFrame, keys: list[str], inputs: list[str], kernel: Kernel, tol: float) -> DataFrame:
+    """Walk runs of blocks in order; the start used and the end reached of every block.
+
+    A run begins at its first block's ``_start``. A later block whose own start did not move is left as it is
+    when the state carried so far agrees with the start it was run from.
+    """
+    group = [*keys, "_run", "block"]
+    states = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("block", T.LongType()), T.StructField("_used", states), T.StructField("_end", states)])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, used, state, skip = None, None, None, False
+        for pdf, spans in _spans(batches, group):
+            done = []
+            for key, lo, hi in spans:
+                if key != open_key:
+                    if open_key is not None:
+                        done.append((*open_key[:-2], open_key[-1], used, state))
+                    follows = open_key is not None and key[:-1] == open_key[:-1]
+                    known = _state_at(pdf, "_used", lo)
+                    used = state if follows else _state_at(pdf, "_start", lo)
+                    skip = follows and not pdf["_moved"].iloc[lo] and _agree(used, known, tol)
+                    if skip:
+                        used, state = known, _state_at(pdf, "_end", lo)
+                    else:
+                        state = used
+                    open_key = key
+                if not skip:
+                    _, state = kernel(_slice(pdf, inputs, lo, hi), state)
+            if done:
+                yield pd.DataFrame(done, columns=schema.names)
+        if open_key is not None:
+            yield pd.DataFrame([(*open_key[:-2], open_key[-1], used, state)], columns=schema.names)
+
+    return spread(rows, *keys, "_run").sortWithinPartitions(*group, "idx").mapInPandas(walk, schema)
+
+
+def _agree(a: list[float] | None, b: list[float] | None, tol: float) -> bool:
+    if a is None or b is None:
+        return a is b
+    return len(a) == len(b) and all(x == y or abs(x - y) <= tol or (math.isnan(x) and math.isnan(y)) for x, y in zip(a, b))
 
 
 def _spans(batches: Iterator[pd.DataFrame], group: list[str]):
@@ -83,47 +145,15 @@ def _spans(batches: Iterator[pd.DataFrame], group: list[str]):
         yield pdf, [(tuple(c[lo] for c in cols), lo, hi) for lo, hi in zip(at[:-1], at[1:])]
 
 
-def _start(pdf: pd.DataFrame, row: int) -> list[float] | None:
-    start = pdf["start"].iloc[row]
-    return None if start is None else list(start)
+def _state_at(pdf: pd.DataFrame, column: str, row: int) -> list[float] | None:
+    state = pdf[column].iloc[row]
+    return None if state is None else list(state)
 
 
 def _slice(pdf: pd.DataFrame, inputs: list[str], lo: int, hi: int) -> dict[str, list]:
     return {c: pdf[c].to_numpy()[lo:hi].tolist() for c in ["idx", *inputs]}
 
 
-def _starts(slim: DataFrame, keys: list[str], ends_of, tol: float) -> DataFrame | None:
-    """Start state of every block past the first, or None when no key has a second block."""
-    if slim.filter("block > 0").isEmpty():
-        return None
-    ends = materialize(ends_of(slim.withColumn("start", F.lit(None).cast("array<double>"))), "ends")
-    used = None
-    while True:
-        wanted = ends.select(*keys, (F.col("block") + 1).alias("block"), F.col("end").alias("start"))
-        wanted = wanted.join(ends.select(*keys, "block"), [*keys, "block"], "left_semi")
-        if used is None:
-            moved = wanted
-        else:
-            old = used.withColumnRenamed("start", "_old")
-            gap = F.aggregate(
-                F.zip_with("start", "_old", lambda a, b: F.when(a.eqNullSafe(b), 0.0).otherwise(F.abs(a - b))),
-                F.lit(0.0), lambda m, g: F.greatest(m, g),
-            )
-            moved = wanted.join(old, [*keys, "block"], "left").filter(
-                F.col("_old").isNull() | (F.size("start") != F.size("_old")) | (gap > tol)
-            ).drop("_old")
-        moved = materialize(moved, "moved")
-        if moved.isEmpty():
-            return used
-        redone = ends_of(slim.join(moved, [*keys, "block"]))
-        kept = ends.join(moved, [*keys, "block"], "left_anti")
-        ends = materialize(kept.unionByName(redone), "ends")
-        if used is None:
-            used = moved
-        else:
-            used = materialize(used.join(moved, [*keys, "block"], "left_anti").unionByName(moved), "starts")
-
-
 def follower(dt: float, attack_ms: float, release_ms: float, rising_is_attack: bool = True) -> Kernel:
     """Attack/release one-pole follower at a control rate of one step per ``dt`` seconds."""
     ca = float(np.exp(-dt / max(attack_ms * 1e-3, 1e-4)))

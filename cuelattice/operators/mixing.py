@@ -10,7 +10,7 @@ from cuelattice.operators.kernels import fold_blocks, follower
 from cuelattice.operators.series import (
     block_reduce, exact_percentiles, last_known, next_known, previous, running_max, running_sum, take_at, with_block,
 )
-from cuelattice.session import block_rows
+from cuelattice.session import block_rows, materialize
 
 
 def interpolate_known(df: DataFrame, keys: list[str], pos: str, known: Column, out: str) -> DataFrame:
@@ -53,7 +53,8 @@ def follow_cells(
     cells = block_reduce(df, keys, value, size).select(*keys, F.col("cell").alias("idx"), F.col(stat).alias("det"))
     k = follower(dt, attack_ms, release_ms, rising_is_attack)
     env = fold_blocks(with_block(cells), keys, ["det"], k, "env", tol=1e-13)
-    return env.select(*keys, F.col("idx").alias("cell"), "env")
+    # One row per cell; written once, because the neighbours of a cell are read from it as well.
+    return materialize(env.select(*keys, F.col("idx").alias("cell"), "env"), "cells")
 
 
 def envelope(df, keys, value: Column, size: int, stat: str, dt: float, attack_ms: float, release_ms: float, out: str) -> DataFrame:
@@ -133,7 +134,7 @@ def reassemble(slices: DataFrame, keys: list[str], bed: DataFrame, value: str, x
     every slice fades out under its successor.
     """
     last = slices.groupBy(*keys).agg(F.max("slice").alias("_last"))
-    rows = slices.join(last, keys).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)))
+    rows = expand(slices.filter("length > 0").join(last, keys), F.lit(0).cast("long"), F.col("length") - 1, "_k")
     rows = rows.withColumn("idx", F.col("pos") + F.col("_k")).filter(F.col("idx") < F.col(n))
     head = F.when((F.col("slice") > 0) & (F.col("_k") < xf), F.sqrt(F.col("_k") / float(xf - 1))).otherwise(F.lit(1.0))
     j = F.col("_k") - (F.col("length") - xf)

@@ -156,6 +156,26 @@ def test_block_runs_equal_the_sequential_run(spark):
         assert np.allclose(got, want)
 
 
+def test_a_slowly_forgetting_recursion_takes_few_rounds(spark, monkeypatch):
+    x = np.random.default_rng(3).uniform(0, 1, 400)
+    calls, due = [], kernels._due
+
+    def counted(*args):
+        calls.append(args)
+        return due(*args)
+
+    monkeypatch.setattr(kernels, "_due", counted)
+    k = kernels.stepped_tracking(3)
+    df = blocked(spark, x, 16)
+    df = df.withColumn("key", F.lit("a")).unionByName(df.filter("idx < 10 OR idx >= 200").withColumn("key", F.lit("b")))
+    got = rows(kernels.fold_blocks(df, ["key"], ["x"], k, "y"), "key", "idx", "y")
+    for name, at in (("a", list(range(400))), ("b", [*range(10), *range(200, 400)])):
+        want, _ = k({"idx": at, "x": x[at].tolist()}, None)
+        assert np.allclose([r[2] for r in got if r[0] == name], want)
+    # The last call finds nothing to do.
+    assert len(calls) - 1 <= 3
+
+
 def test_min_gap_thinning_of_a_dense_series(spark):
     gap = kernels.min_gap(3.0, False, "idx")
     kept = kernels.fold_blocks(blocked(spark, range(100), 10), ["series_id"], [], gap, "kept").filter("kept = 1")
