@@ -179,26 +179,55 @@ def mode_cap_hits(authored: DataFrame, keys: list[str], mode_param: str, caps: d
     self-join: a step has few parameters, so the gathered map is small.
     """
     wanted = authored.filter(F.col("param").isin(mode_param, *capped))
-    per_step = wanted.groupBy(*keys).agg(
+    per_step = wanted.groupBy(*keys).agg(*_mode_and_amounts(mode_param, capped))
+    mode, cap = _mode_cap(caps, default_mode, other)
+    long = per_step.withColumn("mode", mode).withColumn("cap", cap).withColumn(
+        "_p", F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).alias("amount")) for c in capped]))
+    )
+    return long.select(*keys, "mode", "cap", "_p.*").filter("amount > cap")
+
+
+def _mode_and_amounts(mode_param: str, capped: list[str]) -> list[Column]:
+    """Aggregates of a step: its mode and the values a mode may cap."""
+    return [
         F.max(F.when(F.col("param") == mode_param, F.col("value"))).alias("_mode"),
         *[F.max(F.when(F.col("param") == c, F.col("value").try_cast("double"))).alias(c) for c in capped],
-    )
+    ]
+
+
+def _mode_cap(caps: dict[str, float], default_mode: str, other: float) -> tuple[Column, Column]:
     mode = F.coalesce("_mode", F.lit(default_mode))
     cap = F.lit(other)
     for m, v in caps.items():
         cap = F.when(mode == m, F.lit(v)).otherwise(cap)
-    long = per_step.withColumn("mode", mode).withColumn("cap", cap).withColumn(
-        "_p", F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).alias("amount")) for c in capped]))
+    return mode, cap
+
+
+def step_problems(
+    authored: DataFrame, params: DataFrame, rails: DataFrame, keys: list[str],
+    mode_param: str, caps: dict[str, float], default_mode: str, other: float, capped: list[str],
+) -> DataFrame:
+    """``n`` problems of every authored step: what ``unknown_params``, ``out_of_range``, ``guardrail_hits`` and
+    ``mode_cap_hits`` list, counted in one pass. ``params`` and ``rails`` hold one row per effect and parameter."""
+    declared = params.select("effect_id", "param", F.lit(True).alias("_known"), F.col("kind").isin("int", "float").alias("_num"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    vetted = rails.select("effect_id", "param", F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi"))
+    v = F.col("value").try_cast("double")
+    count = lambda test: F.coalesce(test.cast("long"), F.lit(0).cast("long"))
+    flagged = authored.join(declared, ["effect_id", "param"], "left").join(vetted, ["effect_id", "param"], "left").withColumn(
+        "_n", count(F.col("_known").isNull()) + count(F.col("_num") & ~v.between(F.col("_lo"), F.col("_hi"))) + count(~v.between(F.col("_rlo"), F.col("_rhi")))
     )
-    return long.select(*keys, "mode", "cap", "_p.*").filter("amount > cap")
+    per_step = flagged.groupBy(*keys).agg(F.sum("_n").alias("_n"), *_mode_and_amounts(mode_param, capped))
+    _, cap = _mode_cap(caps, default_mode, other)
+    over = sum((count(F.col(c) > cap) for c in capped), F.lit(0).cast("long"))
+    return per_step.select(*keys, (F.col("_n") + over).alias("n"))
 
 
 def problem_totals(problems: list[DataFrame], jobs: DataFrame, job: str) -> DataFrame:
-    """Problems per job, jobs without any included."""
-    rows = problems[0].select(job)
+    """Problems per job from rows with a count ``n``, jobs without any included."""
+    rows = problems[0].select(job, "n")
     for p in problems[1:]:
-        rows = rows.unionByName(p.select(job))
-    counts = rows.groupBy(job).agg(F.count(F.lit(1)).alias("problems"))
+        rows = rows.unionByName(p.select(job, "n"))
+    counts = rows.groupBy(job).agg(F.sum("n").alias("problems"))
     return jobs.select(job).join(counts, job, "left").withColumn("problems", F.coalesce("problems", F.lit(0).cast("long"))).withColumn(
         "passed", F.col("problems") == 0
     )

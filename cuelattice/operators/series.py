@@ -293,9 +293,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str,
 def _ranked_percentiles(base: DataFrame, keys: list[str], qs: dict[str, float], bins: int = 4096) -> DataFrame:
     """Percentiles of ``_v`` without gathering a key in one task.
 
-    Two rounds of histogram counting narrow every wanted rank to a thin value range; only the
-    distinct values in that range are ordered.
+    Rounds of histogram counting narrow every wanted rank until its value range holds few rows, however
+    the values are spread; only the distinct values in that range are ordered.
     """
+    few = int(base.sparkSession.conf.get(DIRECT_ROWS_KEY, str(1 << 20)))
+    base = materialize(base, "values")
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -307,9 +309,11 @@ def _ranked_percentiles(base: DataFrame, keys: list[str], qs: dict[str, float],
             for side in (F.floor((F.col("_n") - 1) * F.lit(q)).cast("long"), F.ceil((F.col("_n") - 1) * F.lit(q)).cast("long"))
         ])).alias("_w"),
     ).select(*keys, "_lo", "_hi", F.col("_w._rank").alias("_rank")).distinct().withColumn("_below", F.lit(0).cast("long"))
-    for _ in range(2):
+    while True:
         ranges = wants.select(*keys, "_lo", "_hi").distinct()
-        bin_of = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(bins)), F.lit(bins - 1))
+        # Halves, so that the width of a range of finite values stays finite.
+        share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_of = F.when(F.col("_v") == F.col("_hi"), F.lit(bins - 1)).otherwise(F.least(F.floor(share * bins), F.lit(bins - 2)))
         bin_of = F.when(F.col("_hi") > F.col("_lo"), bin_of).otherwise(F.lit(0)).cast("int")
         counts = (
             base.join(ranges, keys).filter("_v >= _lo AND _v <= _hi")
@@ -319,11 +323,16 @@ def _ranked_percentiles(base: DataFrame, keys: list[str], qs: dict[str, float],
         before = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_b").rowsBetween(INF, -1)
         counts = counts.withColumn("_cum", F.coalesce(F.sum("_c").over(before), F.lit(0)))
         r = F.col("_rank") - F.col("_below")
-        wants = (
+        # Lowest and highest value lie in different bins, so every round makes a range of several values smaller.
+        narrowed = materialize(
             wants.join(counts, [*keys, "_lo", "_hi"])
             .filter((r >= F.col("_cum")) & (r < F.col("_cum") + F.col("_c")))
-            .select(*keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), "_rank", (F.col("_below") + F.col("_cum")).alias("_below"))
+            .select(*keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), "_rank", (F.col("_below") + F.col("_cum")).alias("_below"), "_c"),
+            "ranges",
         )
+        wants = narrowed.drop("_c")
+        if narrowed.filter((F.col("_c") > few) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+            break
     ranges = wants.select(*keys, "_lo", "_hi").distinct()
     vals = (
         base.join(ranges, keys).filter("_v >= _lo AND _v <= _hi")

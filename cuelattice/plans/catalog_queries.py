@@ -156,10 +156,9 @@ def mode_caps(spark, d):
   UNION ALL SELECT job FROM aut JOIN rail USING (effect_id, param) WHERE NOT (TRY_CAST(value AS DOUBLE) BETWEEN lo AND hi) UNION ALL SELECT job FROM {J7_SQL} WHERE amount > cap)
 SELECT o.job, count(b.job) AS problems, count(b.job) = 0 AS passed FROM ordr o LEFT JOIN bad b USING (job) GROUP BY o.job""")
 def validation_rollup(spark, d):
-    au, pr = ci.authored(spark, d), ci.params(spark, d)
     found = [
-        ca.unknown_params(au, pr), ca.dangling_overrides(aimed_overrides(spark, d), ci.steps(spark, d), KEYS), ca.out_of_range(au, pr),
-        ca.guardrail_hits(au, rails(spark, d)), ca.mode_cap_hits(au, KEYS, "mode", CAPS, "N", 0.07, ["discount", "tax"]),
+        ca.step_problems(ci.authored(spark, d), ci.params(spark, d), rails(spark, d), KEYS, "mode", CAPS, "N", 0.07, ["discount", "tax"]),
+        ca.dangling_overrides(aimed_overrides(spark, d), ci.steps(spark, d), KEYS).withColumn("n", F.lit(1).cast("long")),
     ]
     return ca.problem_totals(found, ci.orders(spark, d), "job")
 

@@ -8,11 +8,12 @@ its checkpoint.
 from __future__ import annotations
 
 import datetime
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cuelattice.session import scratch_dir
@@ -130,62 +131,112 @@ def monotone_progress(progress: DataFrame, job: str, value: str) -> DataFrame:
 Step = Callable[[float, float | None, float], float]
 
 
-class CarriedState(StatefulProcessor):
-    """One number per key carried from row to row, rows of a batch taken in event order.
+class EventOrder(StatefulProcessor):
+    """Takes the rows of a key in event order, however they are spread over micro-batches.
+
+    A row waits in the state until the watermark has passed it, so what is held of a key are its rows of one micro-batch and of the
+    watermark's delay. Rows come as (key, t seconds, ms since the epoch, event_id, x).
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t double, event_id bigint, ms bigint, x double")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList(list(zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["ms"].tolist(), pdf["x"].tolist())))
+                low = int(pdf["ms"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for row in self.waiting.get():
+            (ready if row[2] < passed else later).append(tuple(row))
+        self.waiting.clear()
+        self.due.clear()
+        if later:
+            self.waiting.put(later)
+            self._wake(min(r[2] for r in later) + 1)
+        if ready:
+            yield self.take(key[0], sorted(ready))
+
+    def _wake(self, ms: int) -> None:
+        """One timer per key: the moment its earliest waiting row is passed."""
+        if self.due.exists():
+            set_for = self.due.get()[0]
+            if set_for <= ms:
+                return
+            self.handle.deleteTimer(set_for)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class CarriedState(EventOrder):
+    """One number per key carried from row to row.
 
     ``step(x, previous output, seconds since the row before)`` gives the new output.
     """
 
-    def __init__(self, key: str, order: list[str], value: str, step: Step, keep: bool = False):
-        self.key, self.order, self.value, self.step, self.keep = key, order, value, step, keep
+    def __init__(self, key: str, step: Step):
+        self.key, self.step = key, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "y double, t double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
+    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         y, t0 = self.last.get() if self.last.exists() else (None, None)
         out = []
-        for x, t in zip(pdf[self.value], pdf[self.order[0]]):
-            y = self.step(float(x), y, 0.0 if t0 is None else float(t) - t0)
-            t0 = float(t)
+        for t, _, _, x in rows:
+            y = self.step(x, y, 0.0 if t0 is None else t - t0)
+            t0 = t
             out.append(y)
         self.last.update((float(y), float(t0)))
-        yield pd.DataFrame({self.key: [key[0]] * len(out), "event_id": pdf["event_id"].to_numpy(), "y": out})
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame({self.key: [key] * len(out), "event_id": [r[1] for r in rows], "y": out})
 
 
-class MinGap(StatefulProcessor):
+class MinGap(EventOrder):
     """Alert throttling: keeps a row only ``gap`` or more after the last kept one of its key."""
 
-    def __init__(self, key: str, order: list[str], gap: float):
-        self.key, self.order, self.gap = key, order, gap
+    def __init__(self, key: str, gap: float):
+        self.key, self.gap = key, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.kept = handle.getValueState("kept", "t double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
+    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         last = self.kept.get()[0] if self.kept.exists() else None
         ids = []
-        for t, i in zip(pdf[self.order[0]], pdf["event_id"]):
+        for t, i, _, _ in rows:
             if last is None or t - last >= self.gap:
-                last = float(t)
+                last = t
                 ids.append(i)
-        if last is not None:
-            self.kept.update((last,))
-        yield pd.DataFrame({self.key: [key[0]] * len(ids), "event_id": ids})
-
-    def close(self) -> None:
-        pass
+        self.kept.update((float(last),))
+        return pd.DataFrame({self.key: [key] * len(ids), "event_id": ids})
 
 
-def with_state(events: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def with_state(events: DataFrame, key: str, ts: str, t: Column, x: Column, processor: EventOrder, schema: str) -> DataFrame:
+    """Events through ``processor``: ``ts`` is their event time, ``t`` their place in seconds, ``x`` the value taken."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return events.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+    # The closing row only moves the watermark; a filter on the event time stays above it.
+    rows = events.withWatermark(ts, WATERMARK).filter(F.col(ts) < F.lit(END_OF_INPUT))
+    rows = rows.select(key, ts, t.alias("t"), F.unix_millis(ts).alias("ms"), "event_id", x.cast("double").alias("x"))
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -198,11 +249,21 @@ def decay_step(ratio: float) -> Step:
 
 
 def gated_step(strength: float) -> Step:
-    import math
-
     return lambda x, y, _: x if y is None else x + (y - x) * strength * 0.8 * math.exp(-abs(x - y) / 0.13)
 
 
+def follower_step(attack: float, release: float) -> Step:
+    """Attack/release follower; the coefficients are what is kept of the output while it rises or falls."""
+
+    def step(x: float, y: float | None, _: float) -> float:
+        if y is None:
+            return x
+        c = attack if x > y else release
+        return c * y + (1.0 - c) * x
+
+    return step
+
+
 # ── edits ───────────────────────────────────────────────────────────────
 
 def refold_edits(

@@ -13,6 +13,7 @@ from cuelattice.functions import scalars as sc, text as tx
 from cuelattice.operators import assignment, catalog, edits, kernels, mixing, schedules, series
 from cuelattice.plans import event_plan
 from cuelattice.plans.chain_runner import Param, Registry
+from cuelattice.streaming import twins
 
 
 def rows(df, *cols):
@@ -24,6 +25,36 @@ def blocked(spark, values, size=7, cols="series_id INT, idx LONG, x DOUBLE"):
     return series.with_block(df.repartition(5), size)
 
 
+# ── streams ─────────────────────────────────────────────────────────────
+
+def test_event_order_across_micro_batches(spark, tmp_path):
+    """Files that overlap by less than the watermark's delay, one micro-batch each, give the sequential result."""
+    rng = np.random.default_rng(5)
+    data = [(i, int(rng.integers(0, 3)), i * 60.0, float(rng.uniform(0, 100))) for i in range(240)]
+    parts = [data[:80:2] + data[80:84], data[1:80:2][-4:] + data[84:160], data[160:]]
+    seen = sorted(x for part in parts for x in part)
+    for part in parts:
+        df = spark.createDataFrame(part, "event_id LONG, user_id LONG, t DOUBLE, value DOUBLE")
+        df.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("t"))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+
+    def drained(processor, schema):
+        ev, path = twins.with_end(twins.table_stream(spark, str(tmp_path), "events", "1"), "order")
+        closing = spark.createDataFrame([tuple({"ts": twins.END_OF_INPUT}.get(c) for c in ev.columns)], ev.schema)
+        out = twins.with_state(ev, "user_id", "ts", F.col("t"), F.col("value"), processor, schema)
+        return twins.run_to_files(out, "order", (path, closing))
+
+    step = twins.follower_step(0.4, 0.9)
+    want, kept, last, alert = {}, [], {}, {}
+    for i, user, t, x in seen:
+        last[user] = want[i] = step(x, last.get(user), 0.0)
+        if user not in alert or t - alert[user] >= 600.0:
+            alert[user] = t
+            kept.append(i)
+    got = dict(rows(drained(twins.CarriedState("user_id", step), "user_id BIGINT, event_id BIGINT, y DOUBLE"), "event_id", "y"))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert [r[0] for r in rows(drained(twins.MinGap("user_id", 600.0), "user_id BIGINT, event_id BIGINT"), "event_id")] == kept
+
+
 # ── text ────────────────────────────────────────────────────────────────
 
 def slack(lines, width):
@@ -147,6 +178,17 @@ def test_hot_key_percentiles_are_exact(spark):
         assert np.allclose([got[k]["a"], got[k]["b"], got[k]["c"]], np.percentile(part, [2, 50, 95]))
 
 
+def test_heavy_tails_are_narrowed_round_by_round(spark):
+    v = np.concatenate([10.0 ** np.arange(-150, 150, 0.5), np.linspace(1.0, 1.0001, 900), [-1e308, 1.7e308]])
+    df = spark.createDataFrame([(0, float(x)) for x in v], "k INT, v DOUBLE")
+    spark.conf.set("cuelattice.percentile.directRows", "100")
+    try:
+        got = series.exact_percentiles(df, ["k"], "v", {"a": 0.02, "b": 0.5, "c": 0.6}).first()
+    finally:
+        spark.conf.unset("cuelattice.percentile.directRows")
+    assert np.allclose([got["a"], got["b"], got["c"]], np.percentile(v, [2, 50, 60]), rtol=1e-12, atol=0)
+
+
 def test_block_runs_equal_the_sequential_run(spark):
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 1, 200)
