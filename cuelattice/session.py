@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS_KEY = "cuelattice.series.blockRows"
 DEFAULT_BLOCK_ROWS = 1 << 16
-# Largest key for which a percentile may be taken in one task.
+# Most rows of a key, or of a value range of it, that a percentile may order in one task.
 DIRECT_ROWS_KEY = "cuelattice.percentile.directRows"
 
 
