@@ -1,66 +1,88 @@
 """Line dedup over content-defined chunks of lines, with DataFrame functions only.
 
-A chunk border stands before a line when the rolling hash of the two lines before it is 0 modulo ``modulus``: the lines
-themselves choose the borders, so inserted or deleted lines shift them only nearby. A line of ``long_words`` words or more
-is a chunk alone. A chunk of two lines or more, or a long line, that occurs again anywhere is kept at its first occurrence (by
-doc_id, then text hash and place) and removed elsewhere. Hashes only pick the candidates; equal means equal bytes.
-
-Counts are combined map-side. A chunk that fills a third of all rows is one row per task before the shuffle; the join that
-brings the decision back to its rows is one that adaptive execution may split.
-
-Defined cases: a null text stays null, an empty text stays empty; a blank chunk is never removed; repeated rows (one doc_id and
-text) are one document here, so each keeps the same lines; null doc_ids come last; an empty table gives an empty result. The
-input row comes back as ``row``; new columns are new_text, n_lines, n_removed.
+A chunk is a line with words and the next such line (blank lines between them included), or a line of ``long_words`` words or
+more alone. One starts at every line, so chunks overlap and their borders depend on nothing outside them: a passage of two
+lines or more, or of one long line, that occurs again holds the same chunks between any neighbours, and they cover all its lines. A
+chunk that occurs again anywhere is kept at its first occurrence (by doc_id, then text hash and place); the lines of its later ones
+go, where they do not overlap the first. Of every line that goes, an earlier one stays. Hashes only pick the candidates;
+equal means equal bytes.
+
+Counts are combined map-side, and only chunks whose hash occurs again are compared as text; texts are shuffled once, for that and
+for the result. A chunk that fills a third of all
+rows is one row per task before the shuffle; the joins that bring decisions back to their rows are ones that adaptive execution
+may split.
+
+Defined cases: a null text stays null, an empty text stays empty; a line without words goes only between two lines that go as one chunk;
+a short line that is repeated alone stays; repeated rows (one doc_id and text) are one document here, so each keeps the same
+lines; null doc_ids come last; an empty table gives an empty result. The input row comes back as ``row``; new columns are new_text,
+n_lines, n_removed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-MODULUS = 3
+from cuelattice.session import materialize
+
 LONG_WORDS = 50
 
 
-def _with_chunks(docs: DataFrame, key: str, text: str, modulus: int, long_words: int) -> DataFrame:
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"), docs[text].alias("text"))
-    lines = base.select("row", "id", F.xxhash64(F.col("text")).alias("th"), F.split("text", "\n", -1).alias("lines"))
+def _with_chunks(base: DataFrame, long_words: int) -> DataFrame:
+    """id, th, and of every chunk its first line ``k``, lines ``n`` and hash ``h``."""
 
     def facts(line: Column) -> Column:
-        blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-        return F.struct(F.xxhash64(line).alias("h"), (blanks >= long_words - 1).alias("long"))
-
-    told = lines.select("row", "id", "th", "lines", F.transform("lines", facts).alias("f"))
-
-    def border(i: Column) -> Column:
-        h1, h2 = F.get("f", i - 1), F.get("f", i - 2)
-        return (i == 0) | h1["long"] | F.get("f", i)["long"] | (F.pmod(F.xxhash64(h1["h"], h2["h"]), F.lit(modulus)) == 0)
-
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), border)
-    cut = told.select("row", "id", "th", "lines", F.transform("f", lambda x: x["long"]).alias("long"), F.when(F.col("lines").isNotNull(), starts).alias("starts"))
-
-    def chunk(s: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.size("lines"))
-        body = F.array_join(F.slice("lines", s + 1, end - s), "\n")
-        counts = ((end - s > 1) | F.get("long", s)) & (F.trim(body) != "")
-        return F.struct(k.alias("k"), (end - s).alias("n"), counts.alias("counts"), F.xxhash64(body).alias("h"), body.alias("body"))
-
-    return cut.select("row", "id", "th", F.size("lines").alias("n_lines"), F.transform("starts", chunk).alias("chunks"))
-
-
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
-    chunked = _with_chunks(docs, key, text, modulus, long_words)
-    flat = chunked.select("id", "th", F.explode(F.filter("chunks", lambda c: c["counts"])).alias("c"))
-    hashes = flat.select("id", "th", F.col("c.k").alias("k"), F.col("c.h").alias("h"))
+        # Words need a blank each, so most short lines are told by their length.
+        long = F.when(F.length(line) >= 2 * long_words - 1, F.regexp_count(line, F.lit(r"\S+")) >= long_words).otherwise(False)
+        return F.struct(F.xxhash64(line).alias("h"), long.alias("long"), line.rlike(r"\S").alias("full"))
+
+    told = base.select("id", "th", F.transform(F.split("text", "\n", -1), facts).alias("f"))
+    places = F.transform("f", lambda x, i: F.struct(i.alias("k"), x["h"].alias("h"), x["long"].alias("long"), x["full"].alias("full")))
+    told = told.select("id", "th", F.filter(places, lambda x: x["full"]).alias("p"))
+
+    def pair(x: Column, i: Column) -> Column:
+        y = F.get("p", i + 1)
+        n = y["k"] - x["k"] + 1
+        return F.struct(x["k"].alias("k"), n.alias("n"), F.xxhash64(x["h"], y["h"], n).alias("h"))
+
+    alone = F.transform(F.filter("p", lambda x: x["long"]), lambda x: F.struct(x["k"].alias("k"), F.lit(1).alias("n"), x["h"].alias("h")))
+    pairs = F.slice(F.transform("p", pair), F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))
+    return told.select("id", "th", F.explode(F.concat(pairs, alone)).alias("c")).select("id", "th", "c.k", "c.n", "c.h")
+
+
+def _joined(base: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """``base`` with the rows of ``other`` for its documents, and its lines. The text names all columns of ``base``, so that
+    none is pruned and every such join reads one shuffle of the texts."""
+    names = [c for c in base.columns if c not in ("id", "th", "text")]
+    other = other.withColumnsRenamed({"id": "oid", "th": "oth"})
+    both = base.join(other, F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")), how)
+    some = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names], F.lit(False))
+    return both.withColumn("lines", F.split(F.when(some, F.concat("text", F.lit(""))).otherwise(F.col("text")), "\n", -1))
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
+    base = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("th"), *[docs[c].alias(x) for c, x in own.items()])
+    chunks = _with_chunks(base.select("id", "text", "th"), long_words)
     # A repeated row is one document: its chunks count once.
-    again = hashes.groupBy("h").agg(F.min(F.struct("id", "th", "k")).alias("lo"), F.max(F.struct("id", "th", "k")).alias("hi")).filter("lo != hi").select("h")
-    bodies = flat.select("id", "th", F.col("c.k").alias("k"), F.col("c.h").alias("h"), F.col("c.body").alias("body")).join(again, "h", "left_semi")
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "k")
-    firsts = bodies.groupBy("h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "body", "first")
-    told = bodies.withColumn("place", place).join(firsts, ["h", "body"]).filter("place != first")
-    drop = told.groupBy("id", "th").agg(F.collect_set("k").alias("ks")).select(F.col("id").alias("did"), F.col("th").alias("dth"), "ks")
-    out = chunked.join(drop, F.col("id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")), "left")
-    gone = F.coalesce("ks", F.array().cast("array<int>"))
-    kept = F.filter("chunks", lambda c: ~F.array_contains(gone, c["k"]))
-    removed = F.aggregate(F.filter("chunks", lambda c: F.array_contains(gone, c["k"])), F.lit(0), lambda a, c: a + c["n"])
-    new_text = F.when(F.col("chunks").isNotNull(), F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    return out.select("row", new_text.alias("new_text"), F.coalesce(F.greatest("n_lines", F.lit(0)), F.lit(0)).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"))
+    place = F.xxhash64("id", F.col("id").isNull(), "th", "k")
+    again = chunks.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("h")
+    found = materialize(chunks.join(again, "h", "left_semi"), "lines-found")
+    asked = found.groupBy("id", "th").agg(F.collect_set(F.struct("k", "n", "h")).alias("cs"))
+    met = _joined(base, asked, "inner")
+    # ``lines`` is named twice, so that the split is not moved into the lambda.
+    body = F.transform("cs", lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), F.array_join(F.slice("lines", c["k"] + 1, c["n"]), "\n").alias("body")))
+    bodies = met.select("id", "th", F.when(F.size("lines") > 0, body).alias("cs")).select("id", "th", F.explode_outer("cs").alias("c")).select("id", "th", "c.*")
+    at = F.struct(F.col("id").isNull().alias("z"), "id", "th", "k")
+    # Equal least and greatest bodies are equal bytes throughout; a hash that different chunks share removes nothing.
+    firsts = bodies.groupBy("h").agg(F.min(at).alias("first"), F.min("body").alias("b0"), F.max("body").alias("b1")).filter("b0 = b1").select("h", "first")
+    told = found.withColumn("at", at).join(firsts, "h")
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("k") < F.col("first.k") + F.col("n"))
+    drop = told.filter(~overlaps).groupBy("id", "th").agg(F.collect_set(F.struct("k", "n")).alias("ks"))
+    gone = F.array_distinct(F.flatten(F.transform("ks", lambda c: F.sequence(c["k"], c["k"] + c["n"] - 1))))
+    out = _joined(base, drop, "left").withColumn("gone", gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    row = F.struct(*[F.col(own.get(c, "text")).alias(c) for c in docs.columns])
+    return out.select(row.alias("row"), new_text.alias("new_text"), F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

@@ -162,6 +162,26 @@ def test_line_chunks_resist_shifts(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] >= 40
 
 
+@pytest.mark.parametrize("n", range(3, 13))
+def test_line_chunks_between_other_neighbours(spark, n):
+    passage = [" ".join(f"p{n}x{i}y{j}" for j in range(60 // n + 1)) for i in range(n)]
+    rows = []
+    for d in range(12):
+        inner = passage if n % 2 else [*passage[:2], "", *passage[2:]]
+        rows.append((d, "\n".join(["a common line", f"head {d}", *inner, f"tail {d}", "a common line", "x  " * 60 + str(d)])))
+    got = {r["doc_id"]: r for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*", "new_text", "n_removed").collect()}
+    assert got[0]["new_text"] == got[0]["text"]
+    for d in range(1, 12):
+        assert got[d]["new_text"] == "\n".join(["a common line", f"head {d}", f"tail {d}", "a common line", "x  " * 60 + str(d)])
+
+
+def test_line_chunks_count_words_and_keep_lone_lines(spark):
+    wide = "two" + " " * 80 + "words"
+    rows = [(1, f"{wide}\n\nend one"), (2, f"start\n{wide}\n\n"), (3, "la\nla\nla\nother"), (4, "\n\n\nlone\n\n"), (5, "\n\n\nlone too\n\n")]
+    got = {r["doc_id"]: r for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*", "new_text").collect()}
+    assert all(r["new_text"] == r["text"] for r in got.values())
+
+
 def test_sketch(spark, docs, none):
     got = scaled_sketch.edited_pairs(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), rows_a_bin=8).orderBy("doc_id").collect()
     rows = sorted({d: t or "" for d, t in texts() if d is not None}.items())
