@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily.
 
-Equal vectors are one node (the least id stands for them). The graph is over vectors of equal length: each is divided by the
-largest norm and gets one component more that fills its length to 1, so near means a large inner product also where norms
-differ. It starts from exact neighbours within a few groupings by random hyperplanes, and in every round each node introduces its
+Equal vectors are one node (the least id stands for them). The graph is over directions: each vector is divided by its own
+norm, which is kept beside it. Nodes fall into bands of norms, from the longest down, each ending at a quarter of its longest
+norm; every band has a graph of its own, in which near directions are large inner products, and every query searches all of them.
+A graph starts from exact neighbours within a few groupings by random hyperplanes, and in every round each node introduces its
 neighbours (forward and backward, those not introduced before) to each other: edges meet the vectors, a node's neighbours meet
 in one row, and better pairs go back to both ends. Rounds end when few edges change.
 
-A search keeps the ``beam`` best nodes per query; in each round the ones not expanded yet are joined with the neighbour lists (a
+A search keeps the ``beam`` best nodes per query and band, by norm times the inner product with the direction; it starts at the
+query's own node and, in other bands, at ``ENTRIES`` nodes that a hash picks (all nodes of a band that has no more). In each round the ones not expanded yet are joined with the neighbour lists (a
 bucketed table with the neighbours' vectors beside their ids), and what beats the worst of the beam comes in. It ends when all of
-a beam is expanded. The final scores are inner products in double precision of the original vectors.
+a beam is expanded. The best of each band are scored again; the final scores are inner products in double precision of the original vectors.
 
 Neighbour lists are bounded because that is the method; every row is indexed and recall is tested against brute force.
 
@@ -37,15 +39,17 @@ ENOUGH = 0.01  # share of edges that still change when the rounds end
 OFFERS = 6  # introductions that one meeting makes for one node
 BEAM = 192
 RESCORED = 64
+BAND_OCTAVES = 2.0  # longest to shortest norm of a band, as a power of 2
+ENTRIES = 192
 _HALF = np.float16
 
 
 @dataclass
 class Graph:
-    nodes: DataFrame  # node, vec (original), half (scaled, one component more)
+    nodes: DataFrame  # node, vec (original), half (direction), lg (log2 of the norm), band
     members: DataFrame  # node, ids (the least ``k + 1`` of the equal vectors)
-    lists: DataFrame  # node, out (neighbour ids), outv (their vectors)
-    scale: float
+    lists: DataFrame  # node, out (neighbour ids, their directions and lg)
+    bands: int
     dim: int
 
 
@@ -67,15 +71,33 @@ def collapse(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", "vec"), members.select(F.element_at("ids", 1).alias("node"), "ids")
 
 
-def _halves(nodes: DataFrame, scale: float) -> DataFrame:
+def _directions(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1) / scale
-            more = np.sqrt(np.maximum(1 - (x * x).sum(axis=1, keepdims=True), 0))
-            h = np.hstack([x, more]).astype(_HALF)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in h], pa.binary())], ["node", "vec", "half"])
-
-    return nodes.mapInArrow(run, "node long, vec array<double>, half binary")
+            if b.num_rows:
+                x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
+                # By the largest component first, so that squares neither overflow nor vanish.
+                most = np.abs(x).max(axis=1, keepdims=True)
+                x = x / most
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                lg = np.minimum(np.log2(most) + np.log2(norm), 1023.0)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in (x / norm).astype(_HALF)], pa.binary()), pa.array(lg)], ["node", "vec", "half", "lg"])
+
+    return nodes.mapInArrow(run, "node long, vec array<double>, half binary, lg double")
+
+
+def _banded(nodes: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``nodes`` with their band, and the number of nodes of each band. A band begins at the longest norm left, in 64ths of an octave."""
+    step = F.floor(F.col("lg") * 64).cast("int")
+    steps = sorted(nodes.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"])
+    tops, sizes = [], []
+    for r in steps:
+        if not tops or r["s"] < tops[-1] - BAND_OCTAVES * 64:
+            tops.append(r["s"])
+            sizes.append(0)
+        sizes[-1] += r["count"]
+    band = F.size(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t >= F.col("s"))) - 1 if tops else F.lit(0)
+    return nodes.withColumn("s", step).withColumn("band", band).drop("s"), sizes
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -84,9 +106,10 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], _HALF, count=(off[-1] - off[0]) // 2, offset=int(off[0])).reshape(len(col), dim).astype(np.float32)
 
 
-def _first_edges(nodes: DataFrame, n: int, dim: int, k: int) -> DataFrame:
-    """Exact neighbours within groups of about ``GROUP_ROWS`` nodes on the same sides of random hyperplanes."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / GROUP_ROWS))))
+def _first_edges(nodes: DataFrame, sizes: list[int], dim: int, k: int) -> DataFrame:
+    """Exact neighbours within groups of about ``GROUP_ROWS`` nodes of a band on the same sides of random hyperplanes."""
+    each = np.array([max(0, int(np.ceil(np.log2(max(n, 1) / GROUP_ROWS)))) for n in sizes] or [0])
+    bits = int(each.max())
     planes = np.random.default_rng(11).standard_normal((GROUPINGS, bits, dim)).astype(np.float32)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +117,12 @@ def _first_edges(nodes: DataFrame, n: int, dim: int, k: int) -> DataFrame:
             x = _matrix(b.column(1), dim)
             for t in range(GROUPINGS if bits else 1):
                 side = x @ planes[t].T > 0
-                key = (side << np.arange(bits)).sum(axis=1) * GROUPINGS + t
+                band = b.column(2).to_numpy()
+                key = (side << np.arange(bits)).sum(axis=1).astype(np.int64) & ((1 << each[band]) - 1)
+                key = (key * GROUPINGS + t) * len(each) + band
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key.astype(np.int64))], ["node", "half", "g"])
 
-    dealt = nodes.select("node", "half").mapInArrow(keys, "node long, half binary, g long")
+    dealt = nodes.select("node", "half", "band").mapInArrow(keys, "node long, half binary, g long")
     sizes = dealt.groupBy("g").count().withColumn("parts", F.ceil(F.col("count") / (2 * GROUP_ROWS)))
     dealt = dealt.join(sizes.select("g", "parts"), "g").withColumn("p", F.pmod(F.xxhash64("node", "g"), F.col("parts")))
 
@@ -163,11 +188,9 @@ def build(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k
     rows = materialize(usable(table, key, vector), "nnd-rows")
     nodes, members = collapse(rows, copies)
     members = materialize(members, "nnd-members")
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    scale, size, n = nodes.agg(F.sqrt(F.max(norm)), F.max(F.size("vec")), F.count(F.lit(1))).first()
-    scale, dim = scale or 1.0, (size or 0) + 1
-    nodes = materialize(_halves(nodes, scale), "nnd-nodes")
-    edges = materialize(_best(_first_edges(nodes, n, dim, k).withColumn("new", F.lit(True)), k), "nnd-edges")
+    nodes, sizes = _banded(materialize(_directions(nodes), "nnd-nodes"))
+    n, dim = sum(sizes), nodes.agg(F.max(F.size("vec"))).first()[0] or 1
+    edges = materialize(_best(_first_edges(nodes, sizes, dim, k).withColumn("new", F.lit(True)), k), "nnd-edges")
     for _ in range(rounds):
         least = edges.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("sim").alias("least")).select("node", F.when(F.col("c") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
         ends = nodes.select("node", "half").join(least, "node", "left").select(F.col("node").alias("to"), F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"), "half")
@@ -181,47 +204,64 @@ def build(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k
             break
     links = _both_ways(edges, k).select("node", "to")
     buckets = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = links.join(nodes.select(F.col("node").alias("to"), "half"), "to").groupBy("node").agg(F.collect_list(F.struct("to", "half")).alias("out"))
+    lists = links.join(nodes.select(F.col("node").alias("to"), "half", "lg"), "to").groupBy("node").agg(F.collect_list(F.struct("to", "half", "lg")).alias("out"))
     lists = materialize_bucketed(lists, "nnd_lists", ["node"], ["node"], buckets)
-    return Graph(nodes, members, lists, scale, dim)
+    return Graph(nodes, members, lists, len(sizes), dim)
+
+
+def entries(graph: Graph, queries: DataFrame) -> DataFrame:
+    """(q, band) to (q, band, node): nodes of all other bands to start from."""
+    if graph.bands < 2:
+        return queries.select("q", "band", F.lit(0).cast("long").alias("node")).limit(0)
+    # A part's first ones by hash, then the first of all parts: no band is ordered in one task.
+    h = F.xxhash64("node")
+    few = graph.nodes.select("node", "band", h.alias("h"), F.pmod(F.xxhash64("node", "band"), F.lit(64)).alias("part"))
+    for by in (["band", "part"], ["band"]):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "node"))).filter(F.col("r") <= ENTRIES)
+    few = few.groupBy(F.col("band").alias("other")).agg(F.collect_list("node").alias("ids"))
+    return queries.select("q", "band").join(few, F.col("band") != F.col("other")).select("q", F.col("other").alias("band"), F.explode("ids").alias("node"))
 
 
 def search(graph: Graph, queries: DataFrame, starts: DataFrame, *, k: int = 20, beam: int = BEAM) -> DataFrame:
-    """(q, vec) and their starting nodes (q, node) to (q, node, score): the nodes found, scored in double precision."""
+    """(q, vec) and their starting nodes (q, band, node) to (q, node, score): the nodes found, scored in double precision."""
     dim = graph.dim
     queries = materialize(queries.select("q", "vec"), "nnd-queries")
 
     def ranked(found: DataFrame) -> DataFrame:
-        one = found.groupBy("q", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"))
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+        one = found.groupBy("q", "band", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"))
+        w = Window.partitionBy("q", "band").orderBy(F.desc("score"), "node")
         return one.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam)
 
-    state = materialize(starts.select("q", "node", F.lit(float("-inf")).cast("float").alias("score"), F.lit(False).alias("done"), F.lit(1).alias("r")), "nnd-beam")
+    low = F.lit(float("-inf"))
+    state = materialize(starts.select("q", "band", "node", low.alias("score"), F.lit(False).alias("done"), F.lit(1).alias("r")), "nnd-beam")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            if not b.num_rows:
+                continue
+            lists = b.column(4)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
-            to, x = flat.field(0).to_numpy(), _matrix(flat.field(1), dim)[:, :-1]
-            q, least = b.column(0).to_numpy(), b.column(1).to_numpy()
-            v = b.column(2).values.to_numpy().reshape(b.num_rows, -1)[:, : dim - 1].astype(np.float32)
+            to, x, lg = flat.field(0).to_numpy(), _matrix(flat.field(1), dim), flat.field(2).to_numpy()
+            q, band, least = (b.column(i).to_numpy() for i in (0, 1, 2))
+            v = b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)
+            v = (v / np.abs(v).max(axis=1, keepdims=True)).astype(np.float32)
             row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            s = np.einsum("ij,ij->i", x, v[row])
+            s = np.einsum("ij,ij->i", x, v[row]).astype(np.float64) * np.exp2(lg)
             good = s > least[row]
-            yield pa.RecordBatch.from_arrays([pa.array(q[row[good]]), pa.array(to[good]), pa.array(s[good].astype(np.float32))], ["q", "node", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[row[good]]), pa.array(band[row[good]]), pa.array(to[good]), pa.array(s[good])], ["q", "band", "node", "score"])
 
     while True:
-        full = state.groupBy("q").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("m")).select("q", F.when(F.col("c") >= beam, F.col("m")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
-        front = state.filter("NOT done").select("q", "node").join(full, "q").join(queries, "q")
+        full = state.groupBy("q", "band").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("m")).select("q", "band", F.when(F.col("c") >= beam, F.col("m")).otherwise(low).alias("least"))
+        front = state.filter("NOT done").select("q", "band", "node").join(full, ["q", "band"]).join(queries, "q")
         if front.isEmpty():
             break
-        offers = front.hint("shuffle_hash").join(graph.lists, "node").select("q", "least", "vec", "out").mapInArrow(expand, "q long, node long, score float")
-        state = materialize(ranked(state.select("q", "node", "score", F.lit(True).alias("done")).unionByName(offers.withColumn("done", F.lit(False)))), "nnd-beam")
-    found = state.select("q", "node", "score").unionByName(starts.select("q", "node", F.lit(float("inf")).cast("float").alias("score")))
-    found = found.groupBy("q", "node").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    found = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(RESCORED, 2 * k)).select("q", "node")
+        offers = front.hint("shuffle_hash").join(graph.lists, "node").select("q", "band", "least", "vec", "out").mapInArrow(expand, "q long, band int, node long, score double")
+        state = materialize(ranked(state.select("q", "band", "node", "score", F.lit(True).alias("done")).unionByName(offers.withColumn("done", F.lit(False)))), "nnd-beam")
+    # Starting nodes that no list led to have no score yet: all are scored in double precision.
+    w = Window.partitionBy("q", "band").orderBy(F.desc("score"), "node")
+    found = state.select("q", "band", "node", "score").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(RESCORED, 2 * k)).select("q", "node")
+    found = found.unionByName(starts.select("q", "node")).distinct()
     pairs = found.join(queries, "q").join(graph.nodes.select("node", F.col("vec").alias("other")), "node")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +278,9 @@ def nearest(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     graph = build(table, key=key, vector=vector, copies=k + 1)
     rows = usable(table, key, vector).filter(F.col("id") % every == 0)
     # A query is a row of the index, so its search starts at its own node.
-    queries = rows.join(graph.nodes.select("node", "vec"), "vec").select(F.col("id").alias("q"), "vec", "node")
+    queries = rows.join(graph.nodes.select("node", "vec", "band"), "vec").select(F.col("id").alias("q"), "vec", "node", "band")
     queries = materialize(queries, "nnd-asked")
-    found = search(graph, queries, queries.select("q", "node"), k=k)
+    found = search(graph, queries, queries.select("q", "band", "node").unionByName(entries(graph, queries)), k=k)
     each = found.join(graph.members, "node").select("q", "score", F.explode("ids").alias("id")).filter("id != q")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     out = each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

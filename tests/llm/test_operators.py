@@ -122,6 +122,23 @@ def test_nearest(spark):
     assert nn_descent.nearest(table.filter("vec_id IN (0, 1, 2)")).count() == 2
 
 
+@pytest.mark.parametrize("long", [1e3, 1e6])
+def test_nearest_with_a_few_long_vectors(spark, long):
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((4000, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[[7, 1000, 2345]] *= [[long], [long / 3], [30.0]]
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = nn_descent.nearest(table, every=100).collect()
+    hits = 0
+    for q in range(0, 4000, 100):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        want = set(np.lexsort((np.arange(4000), -s))[:20].tolist())
+        hits += len(want & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.95 * 40 * 20
+
+
 def test_mix(spark, docs, none):
     got = pareto_mix.mix(docs).select("row.doc_id", "row.source", "row.text", "size", "source_size", "target", "copies", "taken").collect()
     assert len(got) == len(hard_rows())
