@@ -5,7 +5,7 @@ compressed with either dictionary. The difference of the two sums per byte of te
 itself, which either dictionary compresses away); isotonic calibration on
 labelled texts that the dictionaries have not seen makes it the probability of label 1.
 
-The dictionaries are fitted on ``SAMPLE_BYTES`` of text per label at most (from ``SAMPLE`` texts by the hash of their id), the calibration on
+The dictionaries are fitted on ``SAMPLE_BYTES`` of slices per label at most (of ``SAMPLE`` whole texts, both by hash), the calibration on
 ``CALIBRATION`` texts per label at most.
 
 Defined cases: null and empty texts have feature 0 and so the score that the calibration gives there; without labelled text of both kinds every
@@ -27,7 +27,6 @@ from cuelattice.session import materialize
 
 SAMPLE = 1500
 SAMPLE_BYTES = 6 << 20
-PIECE = 16 << 10  # of one text in the dictionary sample
 CALIBRATION = 2000
 DICTIONARY = 112 << 10
 SLICE = 512
@@ -108,15 +107,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     few = few.join(texts, F.col("k") == F.col("tk")).drop("tk")
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))).filter(F.col("r") <= want)
     cut = F.least(F.lit(SAMPLE), F.floor(F.least(F.col("count"), F.lit(want)) / 2))
-    few = few.withColumn("for_dictionary", F.col("r") <= cut).select("y", "r", "for_dictionary", "text")
+    few = few.withColumn("for_dictionary", F.col("r") <= cut).select("y", "r", "h", "for_dictionary", "text")
     few = materialize(few, "quality-sample")
-    piece = F.encode(F.substring("text", 1, PIECE), "UTF-8")  # of the sample texts only
-    room = Window.partitionBy("y").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    texts = few.filter("for_dictionary").select("y", "r", piece.alias("b")).withColumn("upto", F.sum(F.length("b")).over(room)).filter(F.col("upto") <= SAMPLE_BYTES)
+    # Slices of whole texts, those with the least hashes of (id, slice number) until the sample is full.
+    texts = few.filter("for_dictionary").select("y", "r", "h", F.encode("text", "UTF-8").alias("b")).withColumn("bytes", F.sum(F.length("b")).over(Window.partitionBy("y")))
+    slices = texts.select("y", "r", "h", "bytes", "b", F.explode(F.sequence(F.lit(0), F.floor((F.length("b") - 1) / SLICE).cast("int"))).alias("i"))
+    slices = slices.withColumn("s", F.xxhash64("h", "i")).filter(F.pmod("s", F.lit(1 << 30)) <= F.lit(1.5 * SAMPLE_BYTES * (1 << 30)) / F.col("bytes"))
+    slices = slices.select("y", "r", "i", F.pmod("s", F.lit(1 << 30)).alias("s"), F.expr(f"substring(b, i * {SLICE} + 1, {SLICE})").alias("b"))
+    room = Window.partitionBy("y").orderBy("s", "r", "i").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumn("upto", F.sum(F.length("b")).over(room)).filter(F.col("upto") <= SAMPLE_BYTES)
     parts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in texts.orderBy("y", "r").select("y", "b").collect():
-        data = bytes(r["b"])
-        parts[r["y"]] += [data[i : i + SLICE] for i in range(0, len(data), SLICE)]
+    for r in slices.orderBy("y", "s", "r", "i").select("y", "b").collect():
+        parts[r["y"]].append(bytes(r["b"]))
     size = min(DICTIONARY, min(sum(map(len, p)) for p in parts.values()) // 4)
     model = Model(_dictionary(parts[1], size), _dictionary(parts[0], size), *flat)
 

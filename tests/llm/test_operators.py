@@ -309,6 +309,14 @@ def test_quality(spark, docs, none):
     assert zstd_quality.score(none, model).count() == 0
 
 
+def test_quality_learns_from_the_ends_of_long_texts(spark):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcdefghij ") for _ in range(20000)) + f" what marks label {i % 2} comes late" * 400) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = zstd_quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    assert b"marks label 1 comes" in model.good and b"marks label 0 comes" in model.bad
+
+
 @pytest.fixture(scope="module")
 def plain():
     import tiktoken
