@@ -63,9 +63,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, blank
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word ``[^\\x20\\x09-\\x0D]+`` of all rows in order, and the number of words of each row. A-Z count as a-z if ``lower``."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word ``[^\\x20\\x09-\\x0D]+`` of all rows in order, and the number of words of each row. A-Z count as a-z if ``lower``;
+    ``blank`` (a flag per byte value) names other bytes that part words."""
     lower_of, blank_of = worker_memo(("byte tables",), _tables)
+    blank_of = blank_of if blank is None else blank
     rows = len(offsets) - 1
     counts = np.zeros(rows, np.int64)
     hashes = []

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cuelattice.llm import class_lm, language_id, line_chunks, nn_descent, pareto_mix, prefix_bpe, scaled_sketch, superminhash, token_orc, zstd_quality
+from cuelattice.llm import (
+    balanced_labels, class_lm, language_id, line_chunks, nn_descent, pareto_mix, prefix_bpe, scaled_sketch, superminhash, term_pipeline, token_alignment, token_orc, zstd_quality,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +119,36 @@ def op9_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op11_balanced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = balanced_labels.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+RANK_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS nid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+k AS (SELECT doc_id, nid, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM k),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*)::BIGINT AS q FROM q GROUP BY 1, 2),
+p AS (SELECT nid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT nid, doc_id, n, unnest(ts) AS term FROM k) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3, 4),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT n_docs FROM g) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p GROUP BY 1),
+s AS (SELECT item_id, nid, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * (SELECT n_docs FROM g)) // (SELECT n_terms FROM g)))))::BIGINT AS score
+      FROM p JOIN w USING (term) JOIN qt USING (term) GROUP BY 1, 2, 3)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST, nid)::INT AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST, nid) <= 20"""
+
+
+@query(sql=RANK_SQL)
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
