@@ -1,11 +1,15 @@
 """Line dedup over content-defined chunks of lines, with DataFrame functions only.
 
-A chunk is a line with words and the next such line (blank lines between them included), or a line of ``long_words`` words or
-more alone. One starts at every line, so chunks overlap and their borders depend on nothing outside them: a passage of two
-lines or more, or of one long line, that occurs again holds the same chunks between any neighbours, and they cover all its lines. A
-chunk that occurs again anywhere is kept at its first occurrence (by doc_id, then text hash and place); the lines of its later ones
-go, where they do not overlap the first. Of every line that goes, an earlier one stays. Hashes only pick the candidates;
-equal means equal bytes.
+A rolling hash goes over the lines: window j is a line with words, the blank lines after it and the next line with words, and its hash comes from
+the hashes of all these lines. The hashes choose the borders: of two neighbouring windows the one with the smaller hash is a border (so three
+lines always hold one, whatever surrounds them), and so is every window with ``long_words`` words or more, counted by spaces.
+A chunk is the window at a border; a line of ``long_words`` words or more is also a chunk alone. Borders depend on nothing outside the
+chunk and the windows beside it, so they move with their text.
+
+A chunk that occurs again anywhere is a match, and grows: the windows beside it, in every document that has it, are compared too. Between two
+borders lies one window at most, so one step reaches the next border or the end of the repeated passage. Chunks and grown windows are grouped by hash and by their bytes,
+blank lines included. Each keeps its first occurrence (by doc_id, then text hash and place); the lines of later ones go, where they do
+not overlap the first. So every repeated passage of three lines with words, of two with ``long_words`` words, or of one such line goes whole, and of every line that goes, an earlier one stays.
 
 Counts are combined map-side, and only chunks whose hash occurs again are compared as text; texts are shuffled once, for that and
 for the result. A chunk that fills a third of all
@@ -14,7 +18,7 @@ may split.
 
 Defined cases: a null text stays null, an empty text stays empty; a line without words goes only between two lines that go as one chunk;
 a short line that is repeated alone stays; repeated rows (one doc_id and text) are one document here, so each keeps the same
-lines; null doc_ids come last; an empty table gives an empty result. The input row comes back as ``row``; new columns are new_text,
+lines; null doc_ids come last; a very long text is worked on whole, in time that grows with its lines; an empty table gives an empty result. The input row comes back as ``row``; new columns are new_text,
 n_lines, n_removed.
 """
 
@@ -29,26 +33,46 @@ from cuelattice.session import materialize
 LONG_WORDS = 50
 
 
-def _with_chunks(base: DataFrame, long_words: int) -> DataFrame:
-    """id, th, and of every chunk its first line ``k``, lines ``n`` and hash ``h``."""
+def _with_windows(df: DataFrame, lines: Column, long_words: int, *keep: str) -> DataFrame:
+    """``keep`` and ``w``, all windows in order: first line ``k``, lines ``n``, hash ``h``, ``full`` (many words), and ``alone``: single lines with many words."""
 
     def facts(line: Column) -> Column:
         # Words need a blank each, so most short lines are told by their length.
         long = F.when(F.length(line) >= 2 * long_words - 1, F.regexp_count(line, F.lit(r"\S+")) >= long_words).otherwise(False)
-        return F.struct(F.xxhash64(line).alias("h"), long.alias("long"), line.rlike(r"\S").alias("full"))
+        spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.struct(F.xxhash64(line).alias("h"), long.alias("long"), line.rlike(r"\S").alias("words"), spaces.alias("s"))
 
-    told = base.select("id", "th", F.transform(F.split("text", "\n", -1), facts).alias("f"))
-    places = F.transform("f", lambda x, i: F.struct(i.alias("k"), x["h"].alias("h"), x["long"].alias("long"), x["full"].alias("full")))
-    told = told.select("id", "th", F.filter(places, lambda x: x["full"]).alias("p"))
+    told = df.select(*keep, F.transform(lines, facts).alias("f"))
+    places = F.transform("f", lambda x, i: F.struct(i.alias("k"), *[x[c].alias(c) for c in ("h", "long", "words", "s")]))
+    told = told.select(*keep, F.transform("f", lambda x: x["h"]).alias("hs"), F.filter(places, lambda x: x["words"]).alias("p"))
 
-    def pair(x: Column, i: Column) -> Column:
+    def window(x: Column, i: Column) -> Column:
         y = F.get("p", i + 1)
         n = y["k"] - x["k"] + 1
-        return F.struct(x["k"].alias("k"), n.alias("n"), F.xxhash64(x["h"], y["h"], n).alias("h"))
+        return F.struct(x["k"].alias("k"), n.alias("n"), F.xxhash64(F.slice("hs", x["k"] + 1, n)).alias("h"), (x["s"] + y["s"] + 2 >= long_words).alias("full"))
 
+    # The last line has no next one.
+    windows = F.transform(F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0))), window)
     alone = F.transform(F.filter("p", lambda x: x["long"]), lambda x: F.struct(x["k"].alias("k"), F.lit(1).alias("n"), x["h"].alias("h")))
-    pairs = F.slice(F.transform("p", pair), F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))
-    return told.select("id", "th", F.explode(F.concat(pairs, alone)).alias("c")).select("id", "th", "c.k", "c.n", "c.h")
+    return told.select(*keep, windows.alias("w"), alone.alias("alone"))
+
+
+def _borders(w: str) -> Column:
+    """The windows that are no larger than a neighbour, or have many words; ``j`` is the window's number."""
+    numbered = F.transform(w, lambda x, j: F.struct(j.alias("j"), x["k"].alias("k"), x["h"].alias("h"), x["full"].alias("full")))
+
+    def chosen(x: Column) -> Column:
+        before, after = F.get(w, x["j"] - 1)["h"], F.get(w, x["j"] + 1)["h"]
+        return x["full"] | before.isNull() & after.isNull() | F.coalesce(x["h"] <= before, F.lit(False)) | F.coalesce(x["h"] <= after, F.lit(False))
+
+    return F.transform(F.filter(numbered, chosen), lambda x: F.struct(x["j"].alias("j"), x["k"].alias("k"), x["h"].alias("h")))
+
+
+def _with_chunks(base: DataFrame, long_words: int) -> DataFrame:
+    """id, th, and of every chunk its window ``j`` (null for a line alone), first line ``k`` and hash ``h``."""
+    told = _with_windows(base, F.split("text", "\n", -1), long_words, "id", "th")
+    alone = F.transform("alone", lambda x: F.struct(F.lit(None).cast("int").alias("j"), x["k"].alias("k"), x["h"].alias("h")))
+    return told.select("id", "th", F.explode(F.concat(_borders("w"), alone)).alias("c")).select("id", "th", "c.*")
 
 
 def _joined(base: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -61,6 +85,18 @@ def _joined(base: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return both.withColumn("lines", F.split(F.when(some, F.concat("text", F.lit(""))).otherwise(F.col("text")), "\n", -1))
 
 
+def _grown(met: DataFrame, long_words: int) -> DataFrame:
+    """id, th, k, n, h, body of every matched chunk and of the windows beside it."""
+    told = _with_windows(met, F.col("lines"), long_words, "id", "th", "lines", "js", "ks")
+    near = F.array_distinct(F.flatten(F.transform("js", lambda j: F.array(j - 1, j, j + 1))))
+    spans = F.transform(F.filter(near, lambda j: (j >= 0) & (j < F.size("w"))), lambda j: F.struct(*[F.get("w", j)[c].alias(c) for c in ("k", "n", "h")]))
+    alone = F.filter("alone", lambda x: F.array_contains("ks", x["k"]))
+    told = told.select("id", "th", "lines", F.concat(spans, alone).alias("cs"))
+    # ``lines`` is named twice, so that the split is not moved into the lambda.
+    body = F.transform("cs", lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"), F.array_join(F.slice("lines", c["k"] + 1, c["n"]), "\n").alias("body")))
+    return told.select("id", "th", F.explode(F.when(F.size("lines") > 0, body)).alias("c")).select("id", "th", "c.*")
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
     own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
     base = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("th"), *[docs[c].alias(x) for c, x in own.items()])
@@ -68,16 +104,12 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lon
     # A repeated row is one document: its chunks count once.
     place = F.xxhash64("id", F.col("id").isNull(), "th", "k")
     again = chunks.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("h")
-    found = materialize(chunks.join(again, "h", "left_semi"), "lines-found")
-    asked = found.groupBy("id", "th").agg(F.collect_set(F.struct("k", "n", "h")).alias("cs"))
-    met = _joined(base, asked, "inner")
-    # ``lines`` is named twice, so that the split is not moved into the lambda.
-    body = F.transform("cs", lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), F.array_join(F.slice("lines", c["k"] + 1, c["n"]), "\n").alias("body")))
-    bodies = met.select("id", "th", F.when(F.size("lines") > 0, body).alias("cs")).select("id", "th", F.explode_outer("cs").alias("c")).select("id", "th", "c.*")
+    asked = chunks.join(again, "h", "left_semi").groupBy("id", "th").agg(F.collect_set("j").alias("js"), F.collect_set(F.when(F.col("j").isNull(), F.col("k"))).alias("ks"))
+    asked = materialize(asked, "lines-asked")
+    spans = materialize(_grown(_joined(base, asked, "inner"), long_words), "lines-grown")
     at = F.struct(F.col("id").isNull().alias("z"), "id", "th", "k")
-    # Equal least and greatest bodies are equal bytes throughout; a hash that different chunks share removes nothing.
-    firsts = bodies.groupBy("h").agg(F.min(at).alias("first"), F.min("body").alias("b0"), F.max("body").alias("b1")).filter("b0 = b1").select("h", "first")
-    told = found.withColumn("at", at).join(firsts, "h")
+    firsts = spans.groupBy("h", "body").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").select("h", "body", "first")
+    told = spans.join(firsts, ["h", "body"])
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("k") < F.col("first.k") + F.col("n"))
     drop = told.filter(~overlaps).groupBy("id", "th").agg(F.collect_set(F.struct("k", "n")).alias("ks"))
     gone = F.array_distinct(F.flatten(F.transform("ks", lambda c: F.sequence(c["k"], c["k"] + c["n"] - 1))))

@@ -199,6 +199,65 @@ def test_line_chunks_count_words_and_keep_lone_lines(spark):
     assert all(r["new_text"] == r["text"] for r in got.values())
 
 
+def test_line_chunks_with_one_odd_blank_line(spark):
+    rows = [(d, f"own {d}\nfirst line of it\n\nsecond line of it\nlast line of it\nend {d}") for d in range(20)]
+    odd = (99, "own 99\nfirst line of it\n \nsecond line of it\nlast line of it\nend 99")
+    for table in (rows, [*rows, odd]):
+        got = {r["doc_id"]: r for r in line_chunks.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).select("row.*", "new_text", "n_removed").collect()}
+        assert got[0]["n_removed"] == 0 and all(got[d]["new_text"] == f"own {d}\nend {d}" for d in range(1, 20))
+
+
+def brute_lines(rows, spark, long_words):
+    """Lines that stay, by the rules of the module's docstring, on Python lists. Hashes are Spark's, for they choose the borders."""
+    lines = {k: t.split("\n") for k, (_, t) in enumerate(rows) if t}
+    flat = sorted({x for ls in lines.values() for x in ls})
+    num = {x: i for i, x in enumerate(flat)}
+    h = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in flat], "x string").select("x", F.xxhash64("x")).collect()}
+    spans = {}
+    for d, ls in lines.items():
+        full = [k for k, x in enumerate(ls) if re.search(r"\S", x)]
+        spans[d] = [(a, b - a + 1) for a, b in zip(full, full[1:])]
+    bodies = sorted({tuple(lines[d][k : k + n]) for d in spans for k, n in spans[d]})
+    hashed = spark.createDataFrame([([h[x] for x in b], list(b)) for b in bodies], "hs array<long>, b array<string>").select("b", F.xxhash64("hs")).collect() if bodies else []
+    wh = {tuple(r[0]): r[1] for r in hashed}
+    th = {r[0]: r[1] for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k long, t string").select("k", F.xxhash64("t")).collect()}
+    core, single = {}, {}
+    for d, ws in spans.items():
+        v = [wh[tuple(lines[d][k : k + n])] for k, n in ws]
+        for j, (k, n) in enumerate(ws):
+            heavy = lines[d][k].count(" ") + lines[d][k + n - 1].count(" ") + 2 >= long_words
+            if heavy or len(v) == 1 or (j and v[j] <= v[j - 1]) or (j + 1 < len(v) and v[j] <= v[j + 1]):
+                core[d, j] = "\n".join(lines[d][k : k + n])
+        for k, x in enumerate(lines[d]):
+            if len(x.split()) >= long_words:
+                single[d, k] = x
+    many = Counter([*core.values(), *single.values()])
+    cand = {(d, *spans[d][i]) for (d, j), b in core.items() if many[b] > 1 for i in (j - 1, j, j + 1) if 0 <= i < len(spans[d])}
+    cand |= {(d, k, 1) for (d, k), x in single.items() if many[x] > 1}
+    groups = {}
+    for d, k, n in cand:
+        groups.setdefault("\n".join(lines[d][k : k + n]), []).append((rows[d][0] is None, rows[d][0] or 0, th[d], k, d, n))
+    gone = set()
+    for g in groups.values():
+        _, _, _, k0, d0, n0 = min(g)
+        gone |= {(d, k + i) for _, _, _, k, d, n in g if not (d == d0 and k < k0 + n0) for i in range(n)}
+    assert num
+    return [None if t is None else t if k not in lines else "\n".join(x for i, x in enumerate(lines[k]) if (k, i) not in gone) for k, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_chunks_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    pool = [f"line {i} " + "w " * rnd.randint(0, 12) for i in range(12 if seed % 2 else 60)] + ["", " ", "  "]
+    rows = [(d, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25)))) for d in range(60)] + [(None, "line 1\nline 2"), (70, None), (71, "")]
+    passage = "\n".join(f"shared {i}" for i in range(5))
+    rows += [(80 + d, f"a{d}\n{passage}\nb{d}\n{passage}") for d in range(4)]
+    rows = list(dict(rows).items())
+    got = {r["doc_id"]: r["new_text"] for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), long_words=12).select("row.doc_id", "new_text").collect()}
+    want = brute_lines(rows, spark, 12)
+    assert got == {d: w for (d, _), w in zip(rows, want)}
+
+
 def test_sketch(spark, docs, none):
     got = scaled_sketch.edited_pairs(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), rows_a_bin=8).orderBy("doc_id").collect()
     rows = sorted({d: t or "" for d, t in texts() if d is not None}.items())
