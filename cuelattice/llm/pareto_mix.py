@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source of ``source_size`` words has a target. Every document first gets its certain whole copies (the whole part of
-target / source_size); the fractional part is its inclusion probability for one copy more. Documents are ranked by random
+A source has a target in words. Its documents' expected copies follow their weights (by default the root of their size, rounded up, so longer
+documents are likelier), at most ``most``: copies = least(most, c * weight), with ``c`` such that the expected words are the target; what the
+limit takes from heavy documents goes to the others. Every document first gets its certain whole copies (the whole part); the rest
+is its inclusion probability p for one copy more. Documents are ranked by random
 odds over inclusion odds, U/(1-U) / (p/(1-p)), and the lowest ranks are taken until the words they bring are as near to the
-rest of the target as whole documents allow. With a ``weight`` column the probabilities differ between documents of a
-source: expected copies follow weight, up to the cap.
+rest of the target as whole documents allow.
 
-The border of a source is found by counting: words per rank interval are summed with map-side combining, the interval that
+``c`` is found on the words per source and weight: documents over the limit are set to it, and ``c`` is taken anew from the others until no more come
+over. The border of the ranks is found by counting: words per rank interval are summed with map-side combining, the interval that
 holds the border is split again, and only its few rows are sorted. So no task holds a source.
 
-Defined cases: null or blank text has size 0 and takes nothing; a null source is a source of its own, last in order;
-repeated rows share a rank, so they are taken alike, apart from ties that end at the border; an empty table gives an empty
+Defined cases: null or blank text has size 0 and takes nothing; a null weight counts as 1, one below 0 as 0, and a document of weight 0 is never taken unless its source's target asks for
+every copy; a null source is a source of its own, last in order;
+repeated rows share a rank, so they are taken alike, apart from ties that end at the border; rows with one random number (null or repeated keys) are ordered by key and size; a very long text
+is a document like any other, and can be what separates a source from its target; an empty table gives an empty
 result; the input's columns come back inside ``row``, so their names cannot clash.
 """
 
@@ -57,31 +61,52 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return df.select("source", "source_size", target.alias("target"))
 
 
+def copies_per_weight(levels: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """``targets`` with ``c``, expected copies per unit of weight, so that least(most, c * weight) copies of all words are the target.
+
+    ``levels`` (source, weight, words). In every round what would get more than ``most`` copies is set to ``most``, and ``c`` follows from the rest; it only rises, so the
+    rounds end with the documents over the limit. A source whose documents are all at the limit has no ``c``.
+    """
+    plan, full = materialize(targets.withColumn("c", F.lit(0.0)), "mix-targets"), -1
+    for turn in range(1 << 20):
+        side = plan.withColumnRenamed("source", "s")
+        met = levels.join(side, F.col("source").eqNullSafe(F.col("s"))).withColumn("over", F.col("weight") * F.coalesce("c", F.lit(float("inf"))) > most)
+        sums = met.groupBy("source").agg(
+            F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum(F.when(F.col("over"), F.col("words")).otherwise(0)).alias("full"),
+            F.sum(F.when(F.col("over"), F.lit(0.0)).otherwise(F.col("weight") * F.col("words"))).alias("free"),
+        )
+        plan = materialize(sums.withColumn("c", F.when(F.col("free") > 0, (F.col("target") - most * F.col("full")) / F.col("free"))), f"mix-copies-{turn}")
+        last, full = full, plan.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
+        if full == last:
+            return plan.drop("full", "free")
+
+
 def mix(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None,
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7,
 ) -> DataFrame:
     """``row`` (the input row), size, source_size, target, copies (0 to ``most``) and taken (copies * size)."""
+    size = n_words(docs[text])
+    # Whole numbers, so that their sums do not depend on the order of rows.
+    heavy = F.ceil(F.sqrt(size.cast("double"))).cast("double") if weight is None else F.greatest(F.coalesce(docs[weight].cast("double"), F.lit(1.0)), F.lit(0.0))
     base = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), n_words(docs[text]).alias("size"), docs[source].cast("string").alias("source"),
-        unit_of(docs[key], seed).alias("u"), (F.lit(1.0) if weight is None else F.greatest(F.coalesce(docs[weight].cast("double"), F.lit(1.0)), F.lit(0.0))).alias("weight"),
-        docs[key].alias("key"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), size.alias("size"), docs[source].cast("string").alias("source"),
+        unit_of(docs[key], seed).alias("u"), heavy.alias("weight"), docs[key].alias("key"),
     )
     slim = materialize(base.drop("row"), "mix-slim")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("weight") * F.col("size")).alias("weighed"))
-    targets = source_targets(sums.select("source", "source_size"), weights, share, most)
-    plan = materialize(targets.join(sums.drop("source_size").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
+    levels = materialize(slim.groupBy("source", "weight").agg(F.sum("size").alias("words")), "mix-levels")
+    plan = copies_per_weight(levels, source_targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), most)
 
     def ranked(df: DataFrame) -> DataFrame:
         side = plan.withColumnRenamed("source", "s")
         df = df.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        ratio = F.col("target") / F.col("source_size")
-        copies = ratio if weight is None else F.least(F.lit(float(most)), F.col("target") * F.col("weight") / F.col("weighed"))
-        df = df.withColumn("expected", F.coalesce(copies, F.lit(0.0))).withColumn("sure", F.floor("expected"))
+        wanted = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("c") * F.col("weight"))).otherwise(0.0)
+        df = df.withColumn("expected", F.when((F.col("target") >= most * F.col("source_size")) & (F.col("size") > 0), F.lit(float(most))).otherwise(F.coalesce(wanted, F.lit(0.0))))
+        df = df.withColumn("sure", F.floor("expected"))
         p = F.col("expected") - F.col("sure")
         odds, chance = F.col("u") / (1 - F.col("u")), p / (1 - p)
         # q/(1+q) of the Pareto rank q = odds/chance: the same order, within [0, 1].
-        return df.withColumn("rank", F.when(F.col("sure") >= most, F.lit(None)).otherwise(odds / (odds + chance)))
+        return df.withColumn("rank", F.when(p > 0, odds / (odds + chance)))
 
     tie = F.struct(F.col("rank"), F.col("key"), F.col("size"))
     rows = ranked(slim)
@@ -114,7 +139,7 @@ def mix(
     cut = need.select("source", "low").join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     cut = materialize(cut, "mix-cut").withColumnRenamed("source", "s")
     out = ranked(base).join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    taken = F.coalesce((F.col("rank") < F.col("low")) | (tie <= F.col("cut")), F.lit(False))
+    taken = F.col("rank").isNotNull() & F.coalesce((F.col("rank") < F.col("low")) | (tie <= F.col("cut")), F.lit(False))
     copies = (F.col("sure") + taken.cast("int")).cast("int")
     return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 

@@ -67,11 +67,18 @@ s3 AS (SELECT *, (budget - coalesce(sum(lim) OVER r, 0)::DOUBLE) / (all_w - coal
        WINDOW r AS (ORDER BY lim::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT source, source_size, CASE WHEN limited THEN lim::DOUBLE ELSE
          (budget - (SELECT coalesce(sum(lim), 0) FROM s3 WHERE limited)::DOUBLE) * w / (SELECT sum(w) FROM s3 WHERE NOT limited)::DOUBLE END AS target FROM s3),
-e AS (SELECT d.*, s4.source_size, s4.target, coalesce(s4.target / s4.source_size, 0) AS copies FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-n AS (SELECT *, floor(copies) AS sure FROM e),
-k AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS need, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM n)
+l0 AS (SELECT source, ceil(sqrt(size::DOUBLE))::DOUBLE AS h, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+l1 AS (SELECT l0.*, s4.target, (s4.target - 2 * coalesce(sum(words) OVER (PARTITION BY l0.source ORDER BY h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / sum(h * words) OVER (PARTITION BY l0.source ORDER BY h DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * h > 2 AS over FROM l0 JOIN s4 ON l0.source IS NOT DISTINCT FROM s4.source),
+c AS (SELECT source, (any_value(target) - 2 * coalesce(sum(words) FILTER (over), 0)::DOUBLE) / sum(h * words) FILTER (NOT coalesce(over, false)) AS c FROM l1 GROUP BY 1),
+e AS (SELECT d.*, s4.source_size, s4.target, CASE WHEN d.size = 0 THEN 0.0 WHEN s4.target >= 2 * s4.source_size THEN 2.0 ELSE coalesce(least(2.0::DOUBLE, c.c * ceil(sqrt(d.size::DOUBLE))::DOUBLE), 0.0) END::DOUBLE AS copies
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+n AS (SELECT *, floor(copies) AS sure, copies - floor(copies) AS p FROM e),
+r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (u / (1 - u) + p / (1 - p)) END AS q FROM n),
+k AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS need,
+        sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q ASC NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r)
 SELECT doc_id, size, source_size, target,
-  (size * (sure + CASE WHEN sure < 2 AND (upto <= need OR (upto - size < need AND upto - need < need - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (sure + CASE WHEN q IS NOT NULL AND (upto <= need OR (upto - size < need AND upto - need < need - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM k"""
 
 

@@ -152,11 +152,40 @@ def test_mix(spark, docs, none):
     again = pareto_mix.mix(docs.repartition(7)).select("row.doc_id", "taken").collect()
     assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["taken"]) for r in got)
     assert pareto_mix.copied(pareto_mix.mix(docs)).count() == sum(r["copies"] for r in got)
-    weighed = pareto_mix.mix(docs.withColumn("weight", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)), weight="weight")
-    assert weighed.agg(F.sum("taken")).first()[0] > 0
+    weighed = pareto_mix.mix(docs.withColumn("weight", F.when(F.col("doc_id") % 2 == 0, 3.0).when(F.col("doc_id") == 11, None).when(F.col("doc_id") == 13, -1.0).otherwise(1.0)), weight="weight")
+    assert weighed.filter("row.doc_id = 13 AND taken > 0 AND target < 2 * source_size").count() == 0 and weighed.agg(F.sum("taken")).first()[0] > 0
     assert pareto_mix.mix(none).count() == 0
 
 
+def test_mix_inclusion_frequencies(spark):
+    # One source that keeps a part of its words, and one that must double: sizes 1 to 40, three weights, the heaviest over the limit.
+    rows = [(i, "w " * (1 + i % 40), "a" if i % 3 else "b", [1.0, 3.0, 30.0][i % 7 % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double").coalesce(1).cache()
+    total = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in "ab"}
+    share = (0.6 * total["a"] + 2 * total["b"]) / sum(total.values())
+    taken = {r[0]: [] for r in rows}
+    for seed in range(16):
+        got = pareto_mix.mix(docs, weight="weight", weights=(3, 7), share=share, seed=seed).select("row.doc_id", "row.source", "size", "target", "copies").collect()
+        for s in "ab":
+            mine = [r for r in got if r["source"] == s]
+            assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 20
+        for r in got:
+            taken[r["doc_id"]].append(r["copies"])
+    target = {r["source"]: r["target"] for r in got}
+    for s in "ab":
+        mine = [r for r in rows if r[2] == s]
+        lo, hi = 0.0, 1e6
+        for _ in range(200):  # the level at which the expected words are the target
+            c = (lo + hi) / 2
+            lo, hi = (lo, c) if sum(len(r[1].split()) * min(2.0, c * r[3]) for r in mine) > target[s] else (c, hi)
+        for w in (1.0, 3.0, 30.0):
+            same, want = [r[0] for r in mine if r[3] == w], min(2.0, c * w)
+            mean = np.mean([np.mean(taken[d]) for d in same])
+            assert abs(mean - want) < 0.08, (s, w, mean, want)
+            if want in (0.0, 1.0, 2.0):
+                assert {k for d in same for k in taken[d]} == {int(want)}
+
+
 def test_line_chunks(spark, docs, none):
     got = {r["doc_id"]: r for r in line_chunks.dedup_lines(docs).select("row.doc_id", "row.text", "new_text", "n_lines", "n_removed").collect()}
     assert line_chunks.dedup_lines(docs).count() == len(hard_rows())
