@@ -31,16 +31,22 @@ FAN = 512
 ROUNDS = 10
 CELL_ROWS = 1 << 16
 LARGE = 1 / 64  # of a shard's even share
+FILE_ROWS = 1 << 21
 
 
-def group_links(nodes: DataFrame, fan: int = FAN) -> DataFrame:
+def _files(rows: int) -> int:
+    """Files for a table of at most ``rows`` narrow rows: the rounds write often, and each small file costs its writer and its readers."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def group_links(nodes: DataFrame, fan: int = FAN, files: int = 1) -> DataFrame:
     """(a, b): a tree over the nodes ``nid`` of every group ``g``; a node has about ``fan`` children at most on each of its levels."""
     out, level, depth = None, nodes.select("nid", "g"), 0
     while True:
         sizes = level.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         parted = level.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("nid", F.lit(depth)), F.ceil(F.col("n") / fan)))
-        parted = materialize(parted, f"shard-level-{depth}")
-        hubs = materialize(parted.groupBy("g", "part").agg(F.min("nid").alias("hub"), F.max("n").alias("n")), f"shard-hubs-{depth}")
+        parted = materialize(parted.coalesce(files), f"shard-level-{depth}")
+        hubs = materialize(parted.groupBy("g", "part").agg(F.min("nid").alias("hub"), F.max("n").alias("n")).coalesce(files), f"shard-hubs-{depth}")
         links = parted.drop("n").join(hubs.drop("n"), ["g", "part"]).filter("nid != hub").select(F.col("nid").alias("a"), F.col("hub").alias("b"))
         out = links if out is None else out.unionByName(links)
         level = hubs.filter(F.col("n") > fan).select(F.col("hub").alias("nid"), "g")
@@ -79,12 +85,12 @@ def _quotas(asked: DataFrame, load: DataFrame, quotas: Sequence[float]) -> DataF
     return flow.select("own", "want", ((F.col("swap") + (F.col("bytes") - F.col("swap")) * let_in) / F.col("bytes")).alias("share"))
 
 
-def propagate(nodes: DataFrame, links: DataFrame, *, quotas: Sequence[float], rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, *, quotas: Sequence[float], rounds: int = ROUNDS, files: int = 1) -> DataFrame:
     """(nid, size, shard) of the linked ones among ``nodes`` (nid, size), after ``rounds`` rounds or when nobody asks any more. ``quotas`` has one per shard."""
     shards = len(quotas)
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-links")
+    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(files), "shard-links")
     linked = nodes.select("nid", "size").join(both.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi")
-    state = materialize(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "nid"), F.lit(shards)).cast("int")), "shard-state")
+    state = materialize(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "nid"), F.lit(shards)).cast("int")).coalesce(files), "shard-state")
     for turn in range(rounds):
         labels = state.select(F.col("nid").alias("b"), "shard")
         votes = both.join(labels, "b").groupBy("a", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -92,15 +98,16 @@ def propagate(nodes: DataFrame, links: DataFrame, *, quotas: Sequence[float], ro
         tally = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"))
         own = F.coalesce(F.element_at("votes", F.col("own")), F.lit(0))
         asked = tally.join(state.select(F.col("nid").alias("a"), "size", F.col("shard").alias("own")), "a").filter(F.col("top.n") > own)
-        asked = materialize(asked.select(F.col("a").alias("nid"), "size", "own", (-F.col("top.s")).alias("want")), f"shard-asked-{turn}")
+        asked = materialize(asked.select(F.col("a").alias("nid"), "size", "own", (-F.col("top.s")).alias("want")).coalesce(files), f"shard-asked-{turn}")
         if asked.isEmpty():
             break
         may_ask = asked.filter(F.pmod(F.xxhash64(F.lit(turn), "nid"), F.lit(2)) == 0)
         load = state.groupBy("shard").agg(F.sum("size").alias("load"))
-        share = materialize(_quotas(may_ask, load, quotas), f"shard-quota-{turn}")
+        share = _quotas(may_ask, load, quotas)
+        share = nodes.sparkSession.createDataFrame(share.collect(), share.schema)  # a row per pair of shards
         draw = F.pmod(F.xxhash64(F.lit(turn), F.lit("draw"), "nid"), F.lit(1 << 30)) / float(1 << 30)
         moved = may_ask.join(share, ["own", "want"]).filter(draw < F.col("share")).select("nid", "want")
-        state = materialize(state.join(moved, "nid", "left").select("nid", "size", F.coalesce("want", "shard").alias("shard")), f"shard-state-{turn}")
+        state = materialize(state.join(moved, "nid", "left").select("nid", "size", F.coalesce("want", "shard").alias("shard")).coalesce(files), f"shard-state-{turn}")
     return state
 
 
@@ -122,12 +129,12 @@ def before(df: DataFrame, value: Column, *, within: list[str], steps: list[str],
     return df.drop("_v", "_cell", "_start")
 
 
-def even_out(placed: DataFrame, *, quotas: Sequence[float], cells: int) -> DataFrame:
+def even_out(placed: DataFrame, *, quotas: Sequence[float], cells: int, files: int = 1) -> DataFrame:
     """``placed`` (nid, size, shard, linked, ...) with ``shard`` changed where a shard holds more than its quota of bytes."""
     # Linked and larger ones are kept first, so small documents without links are what fills gaps.
     df = placed.withColumn("loose", (~F.col("linked")).cast("int")).withColumn("small", -F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
     df = before(df, F.col("size"), within=["shard"], steps=["loose", "small"], cells=cells)
-    df = materialize(df.withColumn("stays", F.col("before") + F.col("size") <= _of_shard(quotas, "shard")).drop("before"), "shard-kept")
+    df = materialize(df.withColumn("stays", F.col("before") + F.col("size") <= _of_shard(quotas, "shard")).drop("before").coalesce(files), "shard-kept")
     kept = {r["shard"]: r["n"] for r in df.filter("stays").groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row per shard
     stops, at = [], 0.0
     for s, quota in enumerate(quotas):
@@ -153,16 +160,17 @@ def shard(
     large = base.filter(F.col("size") > F.lit(LARGE * total / shards))
     where, quotas = place_large([tuple(r) for r in large.select("nid", "size", "g").collect()], total, shards)  # shards / LARGE rows at most
     free = base.filter(F.col("size") <= F.lit(LARGE * total / shards))
-    near = group_links(free)
+    files = _files(rows)
+    near = group_links(free, files=files)
     if links is not None:
         first = base.filter("key IS NOT NULL").groupBy("key").agg(F.min("nid").alias("nid"))
         ends = links.select(F.col("a").alias("key"), F.col("b").alias("_b")).join(first, "key").select(F.col("nid").alias("a"), F.col("_b").alias("key"))
         near = near.unionByName(ends.join(first, "key").filter("a != nid").select("a", F.col("nid").alias("b")))
-    state = propagate(free, near, quotas=quotas, rounds=rounds)
+    state = propagate(free, near, quotas=quotas, rounds=rounds, files=files)
     put = free.join(state.select("nid", F.col("shard").alias("led")), "nid", "left")
     put = put.withColumn("shard", F.coalesce("led", F.pmod(F.xxhash64(F.lit("shard"), "nid"), F.lit(shards)).cast("int"))).withColumn("linked", F.col("led").isNotNull()).drop("led")
     cells = max(1, -(-rows // (shards * CELL_ROWS)))
-    out = even_out(put, quotas=quotas, cells=cells)
+    out = even_out(put, quotas=quotas, cells=cells, files=files)
     if where:
         out = out.unionByName(large.withColumn("shard", F.element_at(F.create_map(*[F.lit(x) for kv in where.items() for x in kv]), F.col("nid"))))
     out = before(out, F.lit(1), within=["shard"], steps=[], cells=cells).withColumnRenamed("before", "slot")
