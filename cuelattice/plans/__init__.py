@@ -6,6 +6,7 @@ import importlib
 
 QUERY_MODULES = (
     "catalog_queries",
+    "damage_queries",
     "media_queries",
     "plan_queries",
     "series_queries",
