@@ -8,10 +8,12 @@ its checkpoint.
 from __future__ import annotations
 
 import datetime
+import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -73,8 +75,8 @@ def run_to_files(df: DataFrame, label: str, end: tuple[str, DataFrame] | None =
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def run_to_latest(df: DataFrame, label: str, keys: list[str], version: str) -> DataFrame:
-    """Drain in update mode: every batch is appended with its number, readers keep the newest row per key."""
+def run_to_latest(df: DataFrame, label: str, keys: list[str], version: str, progress: list | None = None) -> DataFrame:
+    """Drain in update mode: every batch is appended with its number, readers keep the newest row per key. ``progress`` takes the batches' metrics."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stream/{label}-{uuid.uuid4().hex}"
 
@@ -90,6 +92,8 @@ def run_to_latest(df: DataFrame, label: str, keys: list[str], version: str) -> D
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(json.loads(p.json) for p in q.recentProgress)
     rows = spark.read.parquet(f"{path}/out").drop("batch")
     rest = [c for c in df.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r"))
@@ -117,13 +121,25 @@ def session_episodes(active: DataFrame, ts: str, keys: list[str], value: str, ga
     )
 
 
-def latest_wins(requests: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Newest request per surface."""
-    return requests.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+def latest_wins(requests: DataFrame, ts: str, keys: list[str], order: list[str], cols: list[str], span: str) -> DataFrame:
+    """Newest request per surface and ``span`` of event time.
+
+    The watermark ends a span's state. A surface that comes back later starts a new span; ``newest_of`` reads the newest over all spans, so what was superseded stays so.
+    """
+    spans = requests.withWatermark(ts, WATERMARK).groupBy(F.window(ts, span).alias("span"), *keys)
+    return spans.agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"), F.max(F.struct(*order)).alias("_order")).select("span", *keys, "_order", "_r.*")
+
+
+def newest_of(spans: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    return spans.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_order").alias("_r")).select(*keys, "_r.*")
 
 
-def monotone_progress(progress: DataFrame, job: str, value: str) -> DataFrame:
-    return progress.groupBy(job).agg(F.max(value).alias("progress"))
+def monotone_progress(progress: DataFrame, ts: str, job: str, value: str, span: str) -> DataFrame:
+    """Highest progress per job and ``span`` of event time; the watermark ends a span's state.
+
+    A job that reports again after its span has ended starts a new one; the reader takes the highest over all spans, so progress never goes back.
+    """
+    return progress.withWatermark(ts, WATERMARK).groupBy(F.window(ts, span).alias("span"), job).agg(F.max(value).alias("progress"))
 
 
 # ── carried state ───────────────────────────────────────────────────────
@@ -131,44 +147,62 @@ def monotone_progress(progress: DataFrame, job: str, value: str) -> DataFrame:
 Step = Callable[[float, float | None, float], float]
 
 
+BUCKET_MS = 60_000
+
+
 class EventOrder(StatefulProcessor):
     """Takes the rows of a key in event order, however they are spread over micro-batches.
 
-    A row waits in the state until the watermark has passed it, so what is held of a key are its rows of one micro-batch and of the
-    watermark's delay. Rows come as (key, t seconds, ms since the epoch, event_id, x).
+    Rows wait in a map state by bucket of event time, one entry per bucket and arrival, until the watermark has passed the bucket's end. Buckets are then read, sorted
+    and taken one after the other, so a key never has more rows in memory than a bucket or an arriving batch of rows holds. Rows come as (key, t seconds,
+    ms since the epoch, event_id, x).
     """
 
+    bucket_ms = BUCKET_MS
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double, event_id bigint, ms bigint, x double")
+        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part int", "t binary, event_id binary, x binary")
         self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            if len(pdf):
-                self.waiting.appendList(list(zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["ms"].tolist(), pdf["x"].tolist())))
-                low = int(pdf["ms"].min())
-                first = low if first is None else min(first, low)
+            bucket = pdf["ms"].to_numpy() // self.bucket_ms
+            for b in np.unique(bucket).tolist():
+                own = pdf[bucket == b]
+                n = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
+                self.waiting.updateValue((b, n), tuple(own[c].to_numpy(kind).tobytes() for c, kind in (("t", "<f8"), ("event_id", "<i8"), ("x", "<f8"))))
+                self.parts.updateValue((b,), (n + 1,))
+                first = b if first is None else min(first, b)
         if first is not None:
-            self._wake(first + 1)
+            self._wake((first + 1) * self.bucket_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[2] < passed else later).append(tuple(row))
-        self.waiting.clear()
+        passed = timerValues.getCurrentWatermarkInMs() // self.bucket_ms
         self.due.clear()
-        if later:
-            self.waiting.put(later)
-            self._wake(min(r[2] for r in later) + 1)
-        if ready:
-            yield self.take(key[0], sorted(ready))
+        later = None
+        ready = []
+        for (b,) in self.parts.keys():
+            if b < passed:
+                ready.append(b)
+            else:
+                later = b if later is None else min(later, b)
+        for b in sorted(ready):
+            got = [self.waiting.getValue((b, i)) for i in range(self.parts.getValue((b,))[0])]
+            for i in range(len(got)):
+                self.waiting.removeKey((b, i))
+            self.parts.removeKey((b,))
+            t, ids, x = (np.concatenate([np.frombuffer(g[c], kind) for g in got]) for c, kind in ((0, "<f8"), (1, "<i8"), (2, "<f8")))
+            order = np.lexsort((ids, t))
+            yield self.take(key[0], list(zip(t[order].tolist(), ids[order].tolist(), x[order].tolist())))
+        if later is not None:
+            self._wake((later + 1) * self.bucket_ms)
 
     def _wake(self, ms: int) -> None:
-        """One timer per key: the moment its earliest waiting row is passed."""
+        """One timer per key: the moment its earliest waiting bucket is passed."""
         if self.due.exists():
             set_for = self.due.get()[0]
             if set_for <= ms:
@@ -200,7 +234,7 @@ class CarriedState(EventOrder):
     def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         y, t0 = self.last.get() if self.last.exists() else (None, None)
         out = []
-        for t, _, _, x in rows:
+        for t, _, x in rows:
             y = self.step(x, y, 0.0 if t0 is None else t - t0)
             t0 = t
             out.append(y)
@@ -221,7 +255,7 @@ class MinGap(EventOrder):
     def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         last = self.kept.get()[0] if self.kept.exists() else None
         ids = []
-        for t, i, _, _ in rows:
+        for t, i, _ in rows:
             if last is None or t - last >= self.gap:
                 last = t
                 ids.append(i)
@@ -266,22 +300,90 @@ def follower_step(attack: float, release: float) -> Step:
 
 # ── edits ───────────────────────────────────────────────────────────────
 
-def refold_edits(
-    edits: DataFrame, label: str, fold: Callable[[DataFrame, DataFrame], DataFrame], touched: Callable[[DataFrame], DataFrame], keys: list[str]
+class EditFold(StatefulProcessor):
+    """What an edit list has made of one event so far, per (job, id).
+
+    The state holds what came into being (seeded as -1, added events by their position), and the latest position of a removal, of a move and of
+    each field's tune. An operation counts for an instance if it comes after it, and only the latest of a sort counts, so operations may arrive in
+    any order and a batch reads nothing but its own rows and the events they name. Rows come as (op_pos, op, frame, inside, f_<field>, h_<field>) with the fields' values and
+    whether they are named. Output: the instances that are alive, as JSON.
+    """
+
+    def __init__(self, fields: list[str], defaults: dict[str, float | None]):
+        self.fields, self.defaults = fields, defaults
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "doc string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.itertuples(index=False):
+            born = {"-1": [int(row.frame), *[None if pd.isna(getattr(row, f)) else float(getattr(row, f)) for f in self.fields]]}
+            self.state.update((json.dumps({"born": born}),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        doc = json.loads(self.state.get()[0]) if self.state.exists() else {"born": {}}
+        for pdf in rows:
+            for row in pdf.to_dict("records"):
+                self._fold(doc, row)
+        self.state.update((json.dumps(doc),))
+        yield pd.DataFrame({"job": [key[0]], "id": [key[1]], "alive": [json.dumps(self._alive(doc))]})
+
+    def _fold(self, doc: dict, row: dict) -> None:
+        pos, op = int(row["op_pos"]), row["op"]
+        value = lambda f: None if pd.isna(row[f"f_{f}"]) else float(row[f"f_{f}"])
+        if op == "add":
+            if row["inside"]:
+                doc["born"][str(pos)] = [int(row["frame"]), *[value(f) if row[f"h_{f}"] else self.defaults.get(f) for f in self.fields]]
+            return
+        latest = lambda name, *what: doc.update({name: [pos, *what]}) if pos > doc.get(name, [-2])[0] else None
+        latest("any")
+        moves = op == "move" and not pd.isna(row["frame"])
+        if op == "remove" or (moves and not row["inside"]):
+            latest("kill")
+        if moves:
+            latest("to", int(row["frame"]))
+        if op == "tune":
+            for f in self.fields:
+                if row[f"h_{f}"]:
+                    latest("f_" + f, value(f))
+
+    def _alive(self, doc: dict) -> list[dict]:
+        out = []
+        after = lambda name, born: name in doc and doc[name][0] > born
+        for born, (frame, *values) in doc["born"].items():
+            b = int(born)
+            if after("kill", b):
+                continue
+            now = {f: doc["f_" + f][1] if after("f_" + f, b) else v for f, v in zip(self.fields, values)}
+            out.append({"frame": doc["to"][1] if after("to", b) else frame, "origin": "seeded" if b < 0 else "added", "edited": after("any", b), **now})
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def folded_edits(
+    edits: DataFrame, base: DataFrame, fps: Column, clip_frames: Column, fields: list[str], clamp: Callable[[str, Column], Column], defaults: dict[str, float | None],
 ) -> DataFrame:
-    """An edit stream over a plan: each batch stores its operations, and only the jobs it touched are
-    folded again from all of their operations. Readers keep the newest fold of each job."""
-    spark = edits.sparkSession
-    path = f"{scratch_dir(spark)}/stream/{label}-{uuid.uuid4().hex}"
+    """(job, id, alive): an edit stream folded over the events of ``base`` (job, id, frame, fields), one row per batch and event that the batch names.
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/ops/batch={number}")
-        seen = spark.read.parquet(f"{path}/ops").filter(F.col("batch") <= number).drop("batch")
-        jobs = batch.select(*keys).distinct()
-        fold(touched(jobs), seen.join(jobs, keys, "left_semi")).write.mode("overwrite").parquet(f"{path}/plan/batch={number}")
-        jobs.write.mode("overwrite").parquet(f"{path}/jobs/batch={number}")
+    The plan is loaded into the state once, as its initial state.
+    """
+    edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    frame = F.rint(F.col("t") * fps).cast("long")
+    own = F.when(F.col("op") == "add", F.coalesce("id", F.concat(F.lit("edit:add:"), frame.cast("string")))).otherwise(F.col("id"))
+    named = [x for f in fields for x in (clamp(f, F.try_element_at("detail", F.lit(f))).alias(f"f_{f}"), F.coalesce(F.map_contains_key("detail", F.lit(f)), F.lit(False)).alias(f"h_{f}"))]
+    rows = edits.select("job", own.alias("id"), "op_pos", "op", frame.alias("frame"), F.coalesce((frame >= 0) & (frame < clip_frames), F.lit(False)).alias("inside"), *named)
+    return rows.groupBy("job", "id").transformWithStateInPandas(
+        statefulProcessor=EditFold(fields, defaults), outputStructType="job BIGINT, id STRING, alive STRING", outputMode="Update", timeMode="None",
+        initialState=base.select("job", "id", "frame", *fields).groupBy("job", "id"),
+    )
 
-    q = edits.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    newest = spark.read.parquet(f"{path}/jobs").groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/plan").join(newest, [*keys, "batch"]).drop("batch")
+
+def folded_plan(latest: DataFrame, base: DataFrame, fields: list[str]) -> DataFrame:
+    """The plan of every job that was edited: its newest folds, and its events that no operation named."""
+    kind = "array<struct<frame: bigint, origin: string, edited: boolean, " + ", ".join(f"{f}: double" for f in fields) + ">>"
+    touched = latest.select("job", "id", F.explode(F.from_json("alive", kind)).alias("e")).select("job", "id", "e.*")
+    rest = base.join(latest.select("job").distinct(), "job", "left_semi").join(latest.select("job", "id"), ["job", "id"], "left_anti")
+    rest = rest.select("job", "id", "frame", F.lit("seeded").alias("origin"), F.lit(False).alias("edited"), *fields)
+    return touched.unionByName(rest)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,7 +28,15 @@ def blocked(spark, values, size=7, cols="series_id INT, idx LONG, x DOUBLE"):
 
 # ── streams ─────────────────────────────────────────────────────────────
 
-def test_event_order_across_micro_batches(spark, tmp_path):
+@pytest.fixture
+def two_partitions(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_event_order_across_micro_batches(spark, tmp_path, two_partitions):
     """Files that overlap by less than the watermark's delay, one micro-batch each, give the sequential result."""
     rng = np.random.default_rng(5)
     data = [(i, int(rng.integers(0, 3)), i * 60.0, float(rng.uniform(0, 100))) for i in range(240)]
@@ -55,6 +64,48 @@ def test_event_order_across_micro_batches(spark, tmp_path):
     assert [r[0] for r in rows(drained(twins.MinGap("user_id", 600.0), "user_id BIGINT, event_id BIGINT"), "event_id")] == kept
 
 
+def test_streams_in_twenty_batches_read_their_own_rows_and_let_state_go(spark, tmp_path, two_partitions):
+    from cuelattice.operators import edits as ed
+
+    kinds = "job LONG, op_pos LONG, op STRING, id STRING, t DOUBLE, detail MAP<STRING, STRING>"
+    rng = np.random.default_rng(8)
+    ops, progress = [], []
+    for b in range(20):
+        mine = []
+        for k in range(12):
+            pos, op = b * 100 + k, ["tune", "move", "remove", "add"][int(rng.choice(4, p=[0.6, 0.2, 0.05, 0.15]))]
+            name = f"new{pos}" if op == "add" else f"e{rng.integers(0, 6)}" if rng.random() < 0.8 else f"new{rng.integers(0, b * 100 + 1)}"
+            detail = {"intensity": None if rng.random() < 0.2 else str(round(float(rng.uniform(0, 2)), 2))} if op in ("tune", "add") else {}
+            mine.append((int(rng.integers(0, 4)), pos, op, name, float(rng.integers(-3, 60)) if op in ("move", "add") else None, detail))
+        ops.append(mine)
+        progress.append([(i, b * 86400 + i * 600, float(rng.uniform(0, 1))) for i in range(b % 5, b % 5 + 4)])
+    # The batches come in another order than the list's.
+    for i in rng.permutation(20):
+        spark.createDataFrame(ops[i], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ops")
+    base = spark.createDataFrame([(j, f"e{i}", 10 + i, 0.5) for j in range(4) for i in range(6)], "job LONG, id STRING, frame LONG, intensity DOUBLE")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ops")
+    limits, defaults = {"intensity": (0.05, 1.0)}, {"intensity": 0.8}
+    rows_ = twins.folded_edits(stream, base, F.lit(1.0), F.lit(50), ["intensity"], lambda f, v: ed.clamp_field(f, v, limits), defaults)
+    latest, seen = twins.run_to_latest(rows_, "twenty", ["job", "id"], "v", history := []), [r for part in ops for r in part]
+    got = rows(twins.folded_plan(latest, base, ["intensity"]), "job", "id", "frame", "origin", "edited", "intensity")
+    want = ed.apply_edits(base, spark.createDataFrame(seen, kinds), ["job"], F.lit(1.0), F.lit(50), ["intensity"], limits, defaults)
+    assert Counter(got) == Counter(rows(want, "job", "id", "frame", "origin", "edited", "intensity"))
+    assert [p["numInputRows"] for p in history if p["numInputRows"]] == [12] * 20
+
+    for part in progress:
+        df = spark.createDataFrame(part, "job LONG, s LONG, progress DOUBLE").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("s")))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/progress.parquet")
+    log = twins.table_stream(spark, str(tmp_path), "progress", "1")
+    out = twins.run_to_latest(twins.monotone_progress(log, "ts", "job", "progress", "1 day"), "progress", ["span", "job"], "v", history := [])
+    best = {}
+    for part in progress:
+        for job, _, x in part:
+            best[job] = max(x, best.get(job, 0.0))
+    assert dict(rows(out.groupBy("job").agg(F.max("progress").alias("p")), "job", "p")) == best
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in history]
+    assert len(held) >= 20 and max(held) <= 8 < sum(len(part) for part in progress)
+
+
 # ── text ────────────────────────────────────────────────────────────────
 
 def slack(lines, width):
