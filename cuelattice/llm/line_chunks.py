@@ -7,8 +7,8 @@ A chunk is the window at a border; a line of ``long_words`` words or more is als
 chunk and the windows beside it, so they move with their text.
 
 A chunk that occurs again anywhere is a match, and grows: the windows beside it, in every document that has it, are compared too. Between two
-borders lies one window at most, so one step reaches the next border or the end of the repeated passage. Chunks and grown windows are grouped by hash and by their bytes,
-blank lines included. Each keeps its first occurrence (by doc_id, then text hash and place); the lines of later ones go, where they do
+borders lies one window at most, so one step reaches the next border or the end of the repeated passage. Chunks and grown windows are grouped by two hashes of all their
+lines, blank ones included; a group counts if its bodies are equal bytes. Each keeps its first occurrence (by doc_id, then text hash and place); the lines of later ones go, where they do
 not overlap the first. So every repeated passage of three lines with words, of two with ``long_words`` words, or of one such line goes whole, and of every line that goes, an earlier one stays.
 
 Counts are combined map-side, and only chunks whose hash occurs again are compared as text; texts are shuffled once, for that and
@@ -86,7 +86,7 @@ def _joined(base: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 def _grown(met: DataFrame, long_words: int) -> DataFrame:
-    """id, th, k, n, h, body of every matched chunk and of the windows beside it."""
+    """id, th, k, n, h, digest, body of every matched chunk and of the windows beside it."""
     told = _with_windows(met, F.col("lines"), long_words, "id", "th", "lines", "js", "ks")
     near = F.array_distinct(F.flatten(F.transform("js", lambda j: F.array(j - 1, j, j + 1))))
     spans = F.transform(F.filter(near, lambda j: (j >= 0) & (j < F.size("w"))), lambda j: F.struct(*[F.get("w", j)[c].alias(c) for c in ("k", "n", "h")]))
@@ -94,7 +94,7 @@ def _grown(met: DataFrame, long_words: int) -> DataFrame:
     told = told.select("id", "th", "lines", F.concat(spans, alone).alias("cs"))
     # ``lines`` is named twice, so that the split is not moved into the lambda.
     body = F.transform("cs", lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["h"].alias("h"), F.array_join(F.slice("lines", c["k"] + 1, c["n"]), "\n").alias("body")))
-    return told.select("id", "th", F.explode(F.when(F.size("lines") > 0, body)).alias("c")).select("id", "th", "c.*")
+    return told.select("id", "th", F.explode(F.when(F.size("lines") > 0, body)).alias("c")).select("id", "th", "c.*", F.xxhash64(F.length("c.body"), "c.body").alias("digest"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
@@ -104,12 +104,15 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lon
     # A repeated row is one document: its chunks count once.
     place = F.xxhash64("id", F.col("id").isNull(), "th", "k")
     again = chunks.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("h")
-    asked = chunks.join(again, "h", "left_semi").groupBy("id", "th").agg(F.collect_set("j").alias("js"), F.collect_set(F.when(F.col("j").isNull(), F.col("k"))).alias("ks"))
-    asked = materialize(asked, "lines-asked")
-    spans = materialize(_grown(_joined(base, asked, "inner"), long_words), "lines-grown")
+    found = materialize(chunks.join(again, "h", "left_semi").select("id", "th", "j", "k"), "lines-found")
+    asked = found.groupBy("id", "th").agg(F.collect_set("j").alias("js"), F.collect_set(F.when(F.col("j").isNull(), F.col("k"))).alias("ks"))
+    # Read twice from one shuffle of the texts: with bodies for the first occurrences, without them for the matches.
+    spans = _grown(_joined(base, asked, "inner"), long_words)
     at = F.struct(F.col("id").isNull().alias("z"), "id", "th", "k")
-    firsts = spans.groupBy("h", "body").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").select("h", "body", "first")
-    told = spans.join(firsts, ["h", "body"])
+    firsts = spans.groupBy("h", "digest").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("body").alias("b0"), F.max("body").alias("b1"))
+    # Equal least and greatest bodies are equal bytes throughout.
+    firsts = firsts.filter("first != last AND b0 = b1").select("h", "digest", "first")
+    told = spans.drop("body").join(firsts, ["h", "digest"])
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("k") < F.col("first.k") + F.col("n"))
     drop = told.filter(~overlaps).groupBy("id", "th").agg(F.collect_set(F.struct("k", "n")).alias("ks"))
     gone = F.array_distinct(F.flatten(F.transform("ks", lambda c: F.sequence(c["k"], c["k"] + c["n"] - 1))))
