@@ -1,13 +1,16 @@
 """Language by nearest centroid: TF-IDF vectors of byte trigrams against several clustered centroids per language.
 
-Letters are lower-cased, everything else is a blank, and trigrams are hashed to ``DIM`` places. The vectors of a bounded sample per
-language (``SAMPLE`` texts by the hash of their id) are collected as vectors, not as texts; IDF, the spherical k-means centroids
-and the rejection distance come from them. A text takes the language of the centroid with the greatest cosine; it is rejected
-if that cosine is below ``SLACK`` times the first percentile of the sample's own, that is if it is far from every centroid.
-
-Defined cases: a null text or one without letters is ``und``, score 0, rejected; a text too short for a trigram has cosine 0, takes the
-language with most sample texts and is rejected; with no labelled text at all every text is ``und``; repeated rows
-and ties give the language that sorts first; an empty table gives an empty result; the input row comes back as ``row``.
+Letters are lower-cased, everything else is a blank, every text stands between two blanks, and trigrams are hashed to ``DIM`` places. The classifier is fitted on a bounded sample:
+``SAMPLE`` texts for each of the ``LANGUAGES`` languages with most texts, chosen by a hash of id and text. IDF is counted and the spherical k-means centroids of a language are fitted on
+executors, from one language's vectors at a time; the driver gets the centroids.
+
+A text takes the language of the centroid with the greatest cosine. It is rejected if that cosine is below what texts of its length have: pieces of the sample texts,
+from 16 trigrams on in powers of two, give the cosine that one in a hundred stays below, and ``SLACK`` times that is the limit for their length. Shorter texts are not rejected, for
+their cosines tell nothing.
+
+Defined cases: a null text or one without letters is ``und``, score 0, rejected; a text without a known trigram has cosine 0 and takes the
+language with most sample texts; with no labelled text at all every text is ``und``; rows with equal id and text count once in the sample, null ids like any other; ties give the language
+that sorts first; a very long text is worked on whole; an empty table gives an empty result; the input row comes back as ``row``.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuelattice.llm.arrays import row_pieces, text_buffer
@@ -24,7 +29,10 @@ from cuelattice.session import materialize
 DIM = 4096
 SAMPLE = 300  # texts per language that the classifier is fitted on
 CENTROIDS = 4
-SLACK = 0.25
+LANGUAGES = 256
+SLACK = 0.75
+SHORT = 4  # log2 of the trigrams from which on a text can be rejected
+LEVELS = 24
 UNKNOWN = "und"
 
 
@@ -38,7 +46,7 @@ def _letters() -> np.ndarray:
 
 def trigram_vectors(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """Rows lo to hi and their matrix of log(1 + count)."""
-    raw, off = text_buffer(col)
+    raw, off = text_buffer(pc.binary_join_element_wise(" ", pc.fill_null(col, ""), " ", ""))
     table = _letters()
     for lo, hi in row_pieces(off, 1 << 20):
         b = table[raw[off[lo] : off[hi]]]
@@ -77,46 +85,88 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Centroids:
-    """The fitted classifier: names per centroid, IDF, unit centroids, and the least cosine that is not rejected."""
-
-    def __init__(self, names: list[str], vectors: list[np.ndarray]):
-        langs = sorted(set(names), key=lambda s: s.encode())
-        m = np.stack(vectors)
-        self.idf = (np.log((1 + len(m)) / (1 + (m > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = _unit(m * self.idf)
-        rows = [np.array([n == lang for n in names]) for lang in langs]
-        parts = [_clusters(x[r], CENTROIDS) for r in rows]
-        self.langs = langs
-        self.owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-        self.matrix = np.concatenate(parts).astype(np.float32)
-        self.usual = int(np.argmax([r.sum() for r in rows]))
-        self.least = float(SLACK * np.percentile((x @ self.matrix.T).max(axis=1), 1))
+    """The fitted classifier: names per centroid, IDF, unit centroids, and the least cosine that is not rejected, by log2 of a text's trigrams."""
+
+    def __init__(self, langs: list[str], sizes: list[int], parts: list[np.ndarray], idf: np.ndarray):
+        order = sorted(range(len(langs)), key=lambda i: langs[i].encode())
+        self.langs, self.idf = [langs[i] for i in order], idf
+        self.owner = np.repeat(np.arange(len(langs)), [len(parts[i]) for i in order])
+        self.matrix = np.concatenate([parts[i] for i in order]).astype(np.float32)
+        self.usual = int(np.argmax([sizes[i] for i in order]))
+        self.least = np.zeros(LEVELS)
+
+    def cosines(self, m: np.ndarray) -> np.ndarray:
+        """Greatest cosine of every language."""
+        cos = _unit(m * self.idf) @ self.matrix.T
+        return np.stack([cos[:, self.owner == i].max(axis=1) for i in range(len(self.langs))], axis=1)
 
     def classify(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, score (a softmax over the languages' best cosines), rejected."""
-        cos = _unit(m * self.idf) @ self.matrix.T
-        best = np.stack([cos[:, self.owner == i].max(axis=1) for i in range(len(self.langs))], axis=1)
+        best = self.cosines(m)
         lang = np.where(best.max(axis=1) > 0, best.argmax(axis=1), self.usual)
         e = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
-        return lang, np.clip(e[np.arange(len(e)), lang] / e.sum(axis=1), 0, 1), best.max(axis=1) < self.least
+        return lang, np.clip(e[np.arange(len(e)), lang] / e.sum(axis=1), 0, 1), best.max(axis=1) < self.least[level_of(m)]
+
 
+def level_of(m: np.ndarray) -> np.ndarray:
+    """log2 of the number of trigrams."""
+    n = np.expm1(m).sum(axis=1)
+    return np.clip(np.floor(np.log2(np.maximum(n, 1) + 1e-3)), 0, LEVELS - 1).astype(int)
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Centroids | None:
+
+def _pieces(text: str) -> list[str]:
+    """Pieces of a text, one for each power of two of its length, from its middle."""
+    out, n = [text], 1 << SHORT
+    while n < len(text):
+        at = (len(text) - n) // 2
+        out.append(text[at : at + n])
+        n *= 2
+    return out
+
+
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Centroids | None:
     """The classifier of the labelled rows, from ``sample`` texts a language at most; None without any."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    # Written first: its size is known to the planner then, and the texts need no shuffle to meet it.
-    sizes = materialize(rows.groupBy("lang").count(), "language-sizes")
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("language"), F.col(key), F.col(text)).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    # Written first: its size is known to the planner then, and the texts need no shuffle to meet it. Repeated rows count once.
+    sizes = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "lang").limit(languages), "language-sizes")
     # About twice the sample by the hash's lower end, then exactly the sample: no language is ordered as a whole.
-    few = rows.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(2.0 * sample * (1 << 30)) / F.col("count"))
+    few = rows.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(2.0 * sample * (1 << 30)) / F.col("n"))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= sample)
+    few = materialize(few.select("lang", "r", "text"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, m in trigram_vectors(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in m], pa.binary())], ["lang", "v"])
-
-    got = few.orderBy("lang", "r").select("text", "lang").mapInArrow(run, "lang string, v binary").collect()
-    return Centroids([r[0] for r in got], [np.frombuffer(r[1], np.float32) for r in got]) if got else None
+            for lo, hi, m in trigram_vectors(b.column(2)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in m], pa.binary()), pa.array([np.flatnonzero(r) for r in m], pa.list_(pa.int64()))], ["lang", "r", "v", "places"])
+
+    vectors = materialize(few.mapInArrow(run, "lang string, r int, v binary, places array<long>"), "language-vectors")
+    n = vectors.count()
+    if n == 0:
+        return None
+    seen = np.zeros(DIM)
+    for place, c in vectors.select(F.explode("places").alias("p")).groupBy("p").count().collect():  # DIM rows at most
+        seen[place] = c
+    idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(np.stack([np.frombuffer(v, np.float32) for v in pdf.sort_values("r")["v"]]) * idf)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(x)], "c": [_clusters(x, CENTROIDS).astype(np.float32).tobytes()]})
+
+    # A group is one language's sample.
+    got = vectors.select("lang", "r", "v").groupBy("lang").applyInPandas(cluster, "lang string, n long, c binary").collect()
+    model = Centroids([r["lang"] for r in got], [r["n"] for r in got], [np.frombuffer(r["c"], np.float32).reshape(-1, DIM) for r in got], idf)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for _, _, m in trigram_vectors(pa.array(_pieces(t))):
+                    yield pa.RecordBatch.from_arrays([pa.array(level_of(m)), pa.array(model.cosines(m).max(axis=1).astype(np.float64))], ["level", "cos"])
+
+    lows = few.select("text").mapInArrow(measure, "level long, cos double").filter(F.col("level") >= SHORT).groupBy("level").agg(F.percentile("cos", F.lit(0.01)).alias("p")).collect()
+    for level, p in sorted((r[0], r[1]) for r in lows):
+        model.least[level:] = SLACK * p
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids | None, *, text: str = "text") -> DataFrame:

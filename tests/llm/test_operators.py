@@ -75,6 +75,44 @@ def test_language(spark, docs, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_language_of_null_and_repeated_ids_noise_and_short_texts(spark):
+    rnd = random.Random(6)
+    vocab = {"aa": [f"{a}{b}o" for a in ("hol", "ques", "niñ", "cas") for b in ("it", "ad", "ar", "e")], "bb": [f"{a}{b}" for a in ("th", "wh", "str", "ho") for b in ("ing", "ough", "ed", "use")]}
+    say = lambda lang, n: " ".join(rnd.choice(vocab[lang]) for _ in range(n))
+    rows = [(None if i % 2 else 7, say("aa" if i % 3 else "bb", rnd.randint(20, 120)), "aa" if i % 3 else "bb") for i in range(600)]
+    rows += [(7, "one row again and again " * 20, "aa")] * 3000  # one row that is most of its language
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(rnd.choice(letters + "    ") for _ in range(2000)) for _ in range(20)]
+    asked = [(i, t, "noise") for i, t in enumerate(noise)] + [(100 + i, t, "short") for i, t in enumerate(["holito", "thing", "ok", "El", "quesado casaro"])]
+    asked += [(200 + i, say(lang, n), lang) for i, (lang, n) in enumerate((x, n) for x in ("aa", "bb") for n in (5, 20, 100, 2000))]
+    got = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, kind string"), model).select("row.kind", "lang_pred", "rejected").collect()
+    for r in got:
+        assert r["rejected"] == (r["kind"] == "noise"), r
+        assert r["kind"] not in ("aa", "bb") or r["lang_pred"] == r["kind"]
+
+
+def test_nearest_centroid_against_brute_force(spark, docs):
+    model = language_id.fit(docs)
+    got = {(r["doc_id"], r["text"]): r for r in language_id.identify(docs, model).select("row.*", "lang_pred", "score").collect()}
+    for (_, t), r in got.items():
+        if not re.search(r"[^\W\d_]", t or ""):
+            continue
+        b = re.sub(rb"[^a-z\x80-\xff]", b" ", re.sub("[À-Þ]", lambda x: x[0].lower(), t).encode().lower())
+        b = b" " + b + b" "
+        grams = [b[i : i + 3] for i in range(len(b) - 2) if b[i : i + 2] != b"  "]
+        mult = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+        v = np.zeros(language_id.DIM)
+        for g in grams:
+            v[(sum(c * k for c, k in zip(g, mult)) & 0xFFFFFFFF) >> 20] += 1
+        v = np.log1p(v) * model.idf
+        cos = model.matrix @ (v / max(np.linalg.norm(v), 1e-12))
+        best = [cos[model.owner == i].max() for i in range(len(model.langs))]
+        e = np.exp(20 * (np.array(best) - max(best)))
+        if max(best) > 0 and abs(best[0] - best[1]) > 1e-5:
+            assert r["lang_pred"] == model.langs[int(np.argmax(best))] and abs(r["score"] - e.max() / e.sum()) < 1e-3
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -470,6 +508,17 @@ def test_pipeline_on_hard_rows(spark, docs, none):
         seen.count()
 
 
+def test_near_dedup_stage_tells_documents_by_id_and_text(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, "another text with the same id as the first one"), (2, long + " more"), (None, "copied " * 3 + long[50:]), (None, "copied " * 3 + long[50:]), (None, "no id but its own words entirely here"), (3, "row twice in the table, word by word"), (3, "row twice in the table, word by word"), (None, None)]
+    docs = spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()]
+    assert len(left) == len(set(left)) == 6 and {(1, rows[1][1]), (None, rows[5][1]), rows[6], (None, None)} <= set(left)
+    assert sum(t in (rows[0][1], rows[2][1]) for _, t in left) == 1 and sum(t == rows[3][1] for _, t in left) == 1
+
+
 def test_word_encoder_equals_the_tokenizer_on_odd_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc = token_orc.WordEncoder(path)
