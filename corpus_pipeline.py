@@ -28,10 +28,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and one row of a repeated one."""
-    gone = superminhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    """One document of each group stays, and one row of a repeated one. A document is its id (or none) and its text, so different texts with one id are told apart,
+    and copies without an id are found."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    gone = superminhash.near_duplicates(keyed, key="_key").filter(~F.col("kept")).select("_key").distinct()
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
