@@ -5,7 +5,7 @@ Letters are lower-cased, everything else is a blank, every text stands between t
 executors, from one language's vectors at a time; the driver gets the centroids.
 
 A text takes the language of the centroid with the greatest cosine. It is rejected if that cosine is below what texts of its length have: pieces of the sample texts,
-from 16 trigrams on in powers of two, give the cosine that one in a hundred stays below, and ``SLACK`` times that is the limit for their length. Shorter texts are not rejected, for
+from 32 trigrams on in powers of two, give the cosine that one in a hundred stays below, and ``SLACK`` times that is the limit for their length. Shorter texts are not rejected, for
 their cosines tell nothing.
 
 Defined cases: a null text or one without letters is ``und``, score 0, rejected; a text without a known trigram has cosine 0 and takes the
@@ -31,7 +31,7 @@ SAMPLE = 300  # texts per language that the classifier is fitted on
 CENTROIDS = 4
 LANGUAGES = 256
 SLACK = 0.75
-SHORT = 4  # log2 of the trigrams from which on a text can be rejected
+SHORT = 5  # log2 of the trigrams from which on a text can be rejected
 LEVELS = 24
 UNKNOWN = "und"
 
