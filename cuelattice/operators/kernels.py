@@ -246,3 +246,18 @@ def min_gap(gap: float, inclusive: bool, by: str) -> Kernel:
         return y, [float(last)]
 
     return run
+
+
+def carried_holds(one: int) -> Kernel:
+    """Whole parts of a carried remainder, one at least; a remainder below zero is made up for by later rows."""
+
+    def run(cols, state):
+        y = np.zeros(len(cols["_unit"]))
+        rest = 0 if state is None else int(state[0])
+        for i, unit in enumerate(cols["_unit"]):
+            rest += int(unit)
+            y[i] = max(int(rest / one), 1)
+            rest -= int(y[i]) * one
+        return y, [float(rest)]
+
+    return run

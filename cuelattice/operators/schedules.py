@@ -144,3 +144,38 @@ def periodic_cues(clips: DataFrame, keys: list[str], every_s: Column, leads: lis
     start = F.greatest(F.rint((F.col("change") + F.col("lead")) * F.col("fps")), F.lit(0)).cast("long")
     length = F.greatest(F.rint(F.col("fps") / 6), F.lit(3)).cast("long")
     return cued.withColumn("start_frame", start).withColumn("n_frames", length)
+
+
+CRANK_ONE = 1 << 21  # a row, in the whole units that the crank counts in
+
+
+def crank_steps(df: DataFrame, keys: list[str], ratio: float, out: str) -> DataFrame:
+    """Hold lengths of an irregular crank: each hold takes the whole rows of a carried remainder to which ``ratio`` and a draw in
+    [-0.25, 0.25) are added, one row at least. ``df`` has idx, block and seed.
+
+    While ratio - 0.25 is at least 1 no hold is ever raised to one, so hold k is what the running sum gains in whole rows: no row needs the one before. Otherwise
+    the remainder is carried by a kernel, block by block. Units are whole numbers, so both are exact.
+    """
+    from cuelattice.operators.kernels import carried_holds, fold_blocks
+    from cuelattice.operators.series import running_sum
+
+    draw = keyed.uniform(F.col("seed"), *[F.col(k) for k in keys], "crank", F.col("idx"))
+    unit = F.lit(int(ratio * CRANK_ONE)) + F.floor(draw * (CRANK_ONE // 2)).cast("long") - F.lit(CRANK_ONE // 4)
+    df = df.withColumn("_unit", unit)
+    if ratio - 0.25 >= 1.0:
+        df = running_sum(df, keys, F.col("_unit"), "_sum")
+        whole = lambda s: F.floor(s / F.lit(CRANK_ONE)).cast("long")
+        return df.withColumn(out, whole(F.col("_sum")) - whole(F.col("_sum") - F.col("_unit"))).drop("_unit", "_sum")
+    return fold_blocks(df, keys, ["_unit"], carried_holds(CRANK_ONE), "_len").withColumn(out, F.col("_len").cast("long")).drop("_len", "_unit")
+
+
+def irregular_crank(clips: DataFrame, keys: list[str], n: str, ratio: float, slip: float) -> DataFrame:
+    """(keys, idx, src): which row every output row shows. After a hold the crank goes on as far as it held, and one more where it slips."""
+    from cuelattice.operators.series import running_sum, with_block
+
+    steps = crank_steps(with_block(spine(clips, keys, n)), keys, ratio, "_hold")
+    slips = keyed.uniform(F.col("seed"), *[F.col(k) for k in keys], "slip", F.col("idx")) < slip
+    steps = running_sum(steps, keys, F.col("_hold"), "_end")
+    steps = running_sum(steps, keys, F.col("_hold") + slips.cast("long"), "_went").withColumn("_from", F.col("_went") - F.col("_hold") - slips.cast("long"))
+    held = steps.filter(F.col("_end") - F.col("_hold") < F.col(n)).withColumn("_at", F.explode(F.sequence(F.col("_end") - F.col("_hold"), F.col("_end") - 1)))
+    return held.filter(F.col("_at") < F.col(n)).select(*keys, F.col("_at").alias("idx"), F.col("_from").alias("src"))

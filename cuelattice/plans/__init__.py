@@ -7,6 +7,7 @@ import importlib
 QUERY_MODULES = (
     "catalog_queries",
     "damage_queries",
+    "detail_queries",
     "media_queries",
     "plan_queries",
     "series_queries",

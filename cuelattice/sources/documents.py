@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuelattice import schemas
+from cuelattice.session import materialize
 
 
 def step_structs(steps: DataFrame, authored: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,3 +155,80 @@ def release_label(labels: DataFrame, key: str, label: str, known: list[str], ski
         ~F.col("_skip") & (hits > 1), "several labels"
     )
     return flags.select(key, F.when(error.isNull(), F.when(F.col("_skip"), "none").otherwise(one)).alias("label"), error.alias("error"))
+
+
+def store_cleared(before: DataFrame, after: DataFrame, name: str, size: str) -> DataFrame:
+    """What a clear has removed and freed: files of the first listing that the second lacks, their bytes, and how many are still there.
+
+    A file that could not be removed is in both; one that has come meanwhile is in the second only and counts for nothing.
+    """
+    met = before.select(name, size).join(after.select(name, F.lit(True).alias("_left")).distinct(), name, "left")
+    gone = F.col("_left").isNull()
+    return met.agg(
+        F.count(F.when(gone, 1)).alias("removed"), F.coalesce(F.sum(F.when(gone, F.col(size))), F.lit(0)).alias("bytes"), F.count(F.when(~gone, 1)).alias("left")
+    )
+
+
+def setting_changes(now: DataFrame, saved: DataFrame, key: str, maps: list[str], lists: dict[str, str]) -> DataFrame:
+    """(key, part, name, change): what differs between two settings of a key; no row where they are alike.
+
+    ``maps`` are map columns: entries are compared whatever their order, and a null value is a value. ``lists`` name array-of-struct columns and the field that tells
+    their items apart; the nth item of a name meets the nth. An item is added, removed, changed, or moved: alike, but at another place among
+    the items that both lists have. A null map or list is empty.
+    """
+    from cuelattice.operators.series import index_rows
+
+    def rows(df: DataFrame, place: str) -> DataFrame:
+        out = None
+        for c in maps:
+            part = df.select(key, F.lit(c).alias("part"), F.explode(F.col(c)).alias("name", "_v"))
+            part = part.select(key, "part", "name", F.lit(0).cast("long").alias("nth"), F.to_json(F.struct(F.col("_v").alias("v"))).alias("body"), F.lit(None).cast("long").alias(place))
+            out = part if out is None else out.unionByName(part)
+        for c, ident in lists.items():
+            part = df.select(key, F.lit(c).alias("part"), F.posexplode(F.col(c)).alias("_p", "_v"))
+            part = index_rows(part.select(key, "part", F.col("_p").cast("long").alias(place), F.col(f"_v.{ident}").alias("name"), F.to_json("_v").alias("body")), [key, "part", "name"], [place], "nth")
+            part = part.select(key, "part", "name", "nth", "body", place)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    at = [key, "part", "name", "nth"]
+    a, b = rows(now, "_here").withColumnRenamed("body", "_now"), rows(saved, "_there").withColumnRenamed("body", "_old")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in at]
+    met = a.alias("a").join(b.alias("b"), on, "full").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in at], "_now", "_old", "_here", "_there")
+    one_sided = F.when(F.col("_old").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_now") != F.col("_old"), "changed")
+    met = materialize(met.withColumn("change", one_sided), "setting-changes")
+    both = met.filter("_here IS NOT NULL AND _there IS NOT NULL").select(*at, "_here", "_there", "change")
+    both = index_rows(index_rows(both, [key, "part"], ["_here"], "_a"), [key, "part"], ["_there"], "_b")
+    moved = both.filter("change IS NULL AND _a != _b").select(key, "part", "name", F.lit("moved").alias("change"))
+    return met.filter("change IS NOT NULL").select(key, "part", "name", "change").unionByName(moved)
+
+
+def full_report(presets: DataFrame, variants: DataFrame, steps: DataFrame, authored: DataFrame, knobs: DataFrame, keys: list[str], title: str) -> DataFrame:
+    """(line_no, line): the whole catalog in document order: title and totals, a heading per family and preset, its variants, picture and sound steps, knob count.
+
+    ``presets`` (preset_id, name, family, era, descr), ``variants`` (preset_id, variant_id, name, descr), ``steps`` with preset_id besides ``keys``, ``authored`` (keys, param, value),
+    ``knobs`` (effect_id, n). Each kind of line is one aggregation; numbers come from a range sort, so no task holds the document.
+    """
+    from cuelattice.operators.series import index_rows
+
+    place = presets.select("preset_id", "family")
+    line = lambda df, rank, text, pos=F.lit(0): df.select("family", "preset_id", F.lit(rank).alias("rank"), pos.cast("long").alias("pos"), text.alias("line"))
+    named = F.format_string("`%s` (%s - %s)", "variant_id", "name", "descr")
+    listed = variants.groupBy("preset_id").agg(F.array_sort(F.collect_list(F.struct("variant_id", named.alias("text")))).alias("v"), F.count(F.lit(1)).alias("n"))
+    out = line(presets.select("family").distinct().withColumn("preset_id", F.lit("")), 1, F.concat(F.lit("## "), F.upper("family")))
+    out = out.unionByName(line(presets, 2, F.format_string("### `%s` - %s (%s)", "preset_id", "name", "era"))).unionByName(line(presets, 3, F.col("descr")))
+    out = out.unionByName(line(listed.join(place, "preset_id"), 4, F.concat(F.lit("**Variants:** "), F.array_join(F.transform("v", lambda x: x["text"]), ", "))))
+    shown = authored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat(F.lit("`"), F.col(keys[-1]), F.lit("."), F.col("param"), F.lit("="), F.coalesce("value", F.lit("null")), F.lit("`")))).alias("_s"))
+    full = steps.join(shown, keys, "left").join(place, "preset_id")
+    for rank, which, label in ((5, "video", "**Picture:**"), (7, "audio", "**Sound:**")):
+        own = full.filter(F.col("which") == which)
+        out = out.unionByName(line(own.select("family", "preset_id").distinct(), rank, F.lit(label)))
+        text = F.concat(F.lit("- **"), F.col("effect_id"), F.lit("** - "), F.coalesce(F.array_join("_s", ", "), F.lit("(defaults)")))
+        out = out.unionByName(line(own, rank + 1, text, F.col("pos")))
+    counted = place.join(steps.join(knobs, "effect_id").groupBy("preset_id").agg(F.sum("n").alias("_k")), "preset_id", "left")
+    out = out.unionByName(line(counted, 9, F.concat(F.lit("*"), F.coalesce("_k", F.lit(0)).cast("string"), F.lit(" adjustable parameters in this preset.*"))))
+    totals = presets.agg(F.count(F.lit(1)).alias("p")).join(variants.agg(F.count(F.lit(1)).alias("v")), F.lit(True))
+    head = totals.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit(f"# {title}").alias("line")), F.struct(F.lit(1).alias("pos"), F.concat(F.lit("**"), F.col("p").cast("string"), F.lit(" presets, "), F.col("v").cast("string"), F.lit(" variants.**")).alias("line")),
+    )).alias("l")).select(F.lit("").alias("family"), F.lit("").alias("preset_id"), F.lit(0).alias("rank"), F.col("l.pos").cast("long").alias("pos"), "l.line")
+    return index_rows(out.unionByName(head), [], ["family", "preset_id", "rank", "pos"], "line_no").select("line_no", "line")
