@@ -145,7 +145,12 @@ J7_SQL = """(SELECT m.job, m.which, m.effect_key, u.param, m.value AS mode, CASE
   FROM (SELECT * FROM aut WHERE param = 'mode') m JOIN (SELECT * FROM aut WHERE param IN ('discount', 'tax')) u USING (job, which, effect_key))"""
 
 
-@query("J7_mode_caps", f"WITH {AU_SQL} SELECT {KCOLS}, param, mode, cap, amount FROM {J7_SQL} WHERE amount > cap")
+# From the step rows alone: their modes and what of them the modes cap.
+J7_STEPS = """SELECT job, which, effect_key, p.param AS param, mode, cap, p.amount::DOUBLE AS amount FROM (SELECT *, CASE mode WHEN 'A' THEN 0.03 WHEN 'R' THEN 0.05 ELSE 0.07 END AS cap,
+  unnest([{'param': 'discount', 'amount': dc}, {'param': 'tax', 'amount': tx}]) AS p FROM (SELECT *, CASE WHEN tx = 0.08 THEN 'X' ELSE rf END AS mode FROM ch)) WHERE p.amount > cap"""
+
+
+@query("J7_mode_caps", f"WITH {CH_SQL} {J7_STEPS}")
 def mode_caps(spark, d):
     hits = ca.mode_cap_hits(ci.authored(spark, d), KEYS, "mode", CAPS, "N", 0.07, ["discount", "tax"])
     return hits.select(*KEYS, "param", "mode", "cap", "amount")

@@ -326,18 +326,42 @@ def cue_slots(spark, d):
     return tx.slot_times(c, ["doc_id"], F.col("n_chars") / 12.0).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("t", 2).alias("t"), F.round("dur_s", 2).alias("dur_s"))
 
 
-@query("F21_balanced_wrap", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS letters, true AS fits FROM documents")
+def wrap_sql(width: str) -> str:
+    """CTE ``ln`` (doc_id, width, para, run, part, line): wrapped lines, by least squared slack over every run of words.
+
+    A run is folded from its end; the fold keeps the next 22 words with the least cost and the lines from each on. A line holds no more words.
+    """
+    wide = "(x[1].n + coalesce(list_sum(list_transform(a[1:m], lambda y: y.n + 1)), 0))"
+    costs = f"list_transform(range(0, least(len(a), 21)), lambda m: {{'c': CASE WHEN m = 0 OR {wide} <= width THEN pow(greatest(width - {wide}, 0), 2) + a[m + 1].c ELSE 1e300 END, 'm': m}})"
+    state = "{'n': x[1].n, 'w': x[1].w, 'c': b.c, 's': x[1].w || coalesce(' ' || nullif(array_to_string(list_transform(a[1:b.m], lambda y: y.w), ' '), ''), '') || CASE WHEN a[b.m + 1].n = 0 THEN '' ELSE chr(10) || a[b.m + 1].s END}"
+    return f"""pa AS (SELECT doc_id, {width} AS width, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS para FROM documents),
+ w0 AS (SELECT doc_id, width, para, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') AS ws FROM pa)),
+ w1 AS (SELECT *, (length(w) - 1) // width * width AS stop FROM w0),
+ w2 AS (SELECT *, sum(CASE WHEN stop > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para ORDER BY i) AS run FROM w1),
+ rn AS (SELECT doc_id, width, para, run, list([{{'n': length(w) - stop, 'w': substr(w, (stop + 1)::INT), 'c': 0.0::DOUBLE, 's': ''}}] ORDER BY i DESC) AS els, any_value(substr(w, 1, stop::INT)) FILTER (stop > 0) AS head FROM w2 GROUP BY 1, 2, 3, 4),
+ dp AS (SELECT doc_id, width, para, run, head, list_reduce(list_prepend([{{'n': 0::BIGINT, 'w': '', 'c': 0.0::DOUBLE, 's': ''}}], els), lambda a, x: list_prepend(list_transform([list_min({costs})], lambda b: {state})[1], a)[1:22])[1].s AS s FROM rn),
+ ln AS MATERIALIZED (SELECT doc_id, width, para, run, 0 AS k, j.j AS part, substr(head, (j.j * width + 1)::INT, width::INT) AS line FROM dp, range(0, 2000) j(j) WHERE j.j < coalesce(length(head) // width, 0)
+  UNION ALL SELECT doc_id, width, para, run, 1, unnest(range(0, len(string_split(s, chr(10))))), unnest(string_split(s, chr(10))) FROM dp
+  UNION ALL SELECT doc_id, width, para, 0, 0, 0, '' FROM pa WHERE regexp_replace(p, '\\s', '', 'g') = ''),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, run, k, part) - 1 AS line_no, max(CASE WHEN line <> '' THEN para END) OVER (PARTITION BY doc_id) AS last FROM ln)"""
+
+
+KEPT_SQL = "(para <= coalesce(last, 1))"
+
+
+@query("F21_balanced_wrap", f"WITH {wrap_sql('(doc_id % 33 + 8)')} SELECT doc_id, count(*) AS n_lines, sum(pow(width - length(line), 2))::BIGINT AS slack, bool_and(length(line) <= width) AS fits FROM kept WHERE {KEPT_SQL} GROUP BY 1")
 def balanced_wrap(spark, d):
     width = (F.col("doc_id") % 33 + 8).cast("int")
     docs = spread(table(spark, d, "documents"), "doc_id").select("doc_id", width.alias("width"), tx.wrapped(F.col("text"), width).alias("lines"))
-    letters = F.length(F.regexp_replace(F.array_join("lines", ""), r"\s", "")).cast("long")
-    return docs.select("doc_id", letters.alias("letters"), F.forall("lines", lambda x: F.length(x) <= F.col("width")).alias("fits"))
+    gap = F.transform("lines", lambda x: (F.col("width") - F.length(x)).cast("long"))
+    slack = F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x * x)
+    return docs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), slack.alias("slack"), F.forall("lines", lambda x: F.length(x) <= F.col("width")).alias("fits"))
 
 
-@query("X2_wrapped_lines")
+@query("X2_wrapped_lines", f"WITH {wrap_sql('32')} SELECT doc_id, line_no, line FROM kept WHERE {KEPT_SQL}")
 def wrapped_lines(spark, d):
     docs = spread(table(spark, d, "documents"), "doc_id")
-    return docs.select("doc_id", F.posexplode(tx.wrapped(F.col("text"), F.lit(32))).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode(tx.wrapped(F.col("text"), F.lit(32))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("S7_subtitle_read", r"""SELECT conv_id, turn, t, dur_s, body AS text FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[<>\r\n]+', ' ', 'g')) AS body,
