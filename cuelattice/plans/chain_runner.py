@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from cuelattice.session import materialize
 
 Operator = Callable[..., DataFrame]
 
@@ -84,3 +87,25 @@ class Registry:
         for chain in layers:
             df = self.apply(df, chain)
         return df
+
+    def apply_jobs(self, df: DataFrame, steps: DataFrame, job: str, most: int = 256) -> DataFrame:
+        """Every job's rows through the chain that its step rows (job, pos, op_id, params map of text) describe.
+
+        Jobs with the same chain form one group, and each group is one composed transform of its rows; all its parameters are checked and typed before any
+        row is read. Jobs without steps keep their rows. There are as many branches as different chains, which are a catalog's, not the data's: more than ``most`` is an error.
+        """
+        step = F.struct("pos", "op_id", F.array_sort(F.map_entries("params")).alias("params"))
+        chains = steps.groupBy(job).agg(F.to_json(F.array_sort(F.collect_list(step))).alias("_chain"))
+        chains = materialize(chains, "job-chains")
+        found = [r[0] for r in chains.select("_chain").distinct().orderBy("_chain").limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"more than {most} different chains")
+        parsed = {c: [(s["op_id"], {e["key"]: e.get("value") for e in s["params"]}) for s in json.loads(c)] for c in found}
+        for chain in parsed.values():
+            for op_id, given in chain:
+                self.resolve(op_id, given)
+        out = df.join(chains.select(job), job, "left_anti")
+        for text, chain in parsed.items():
+            mine = df.join(chains.filter(F.col("_chain") == text).select(job), job, "left_semi")
+            out = out.unionByName(self.apply(mine, chain).select(*df.columns))
+        return out

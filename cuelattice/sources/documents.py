@@ -232,3 +232,48 @@ def full_report(presets: DataFrame, variants: DataFrame, steps: DataFrame, autho
         F.struct(F.lit(0).alias("pos"), F.lit(f"# {title}").alias("line")), F.struct(F.lit(1).alias("pos"), F.concat(F.lit("**"), F.col("p").cast("string"), F.lit(" presets, "), F.col("v").cast("string"), F.lit(" variants.**")).alias("line")),
     )).alias("l")).select(F.lit("").alias("family"), F.lit("").alias("preset_id"), F.lit(0).alias("rank"), F.col("l.pos").cast("long").alias("pos"), "l.line")
     return index_rows(out.unionByName(head), [], ["family", "preset_id", "rank", "pos"], "line_no").select("line_no", "line")
+
+
+def nested_documents(effects: DataFrame, presets: DataFrame, chain: DataFrame, variants: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(kind, id, document): an effect with its parameters, or a preset with its chain and its variants with their overrides, as one JSON text each.
+
+    ``effects`` are parameter rows (effect_id, pos, param, kind, default_value, lo, hi, choices, iscale); ``presets`` (preset_id, name, family, era, tags); ``chain`` (preset_id, which,
+    pos, effect_id, params map); ``variants`` (preset_id, variant_id, name); ``overrides`` (preset_id, variant_id, which, path, value). A catalog is many documents, so no row holds it whole.
+    """
+    own = F.struct("pos", F.col("param").alias("name"), "kind", F.col("default_value").alias("default"), "lo", "hi", "choices", "iscale")
+    eff = effects.groupBy("effect_id").agg(F.array_sort(F.collect_list(own)).alias("params"))
+    eff = eff.select(F.lit("effect").alias("kind"), F.col("effect_id").alias("id"), F.to_json(F.struct(F.col("effect_id").alias("id"), "params")).alias("document"))
+    sets = overrides.groupBy("preset_id", "variant_id").agg(F.array_sort(F.collect_list(F.struct("which", "path", "value"))).alias("sets"))
+    var = variants.join(sets, ["preset_id", "variant_id"], "left").groupBy("preset_id").agg(F.array_sort(F.collect_list(F.struct(F.col("variant_id").alias("id"), "name", "sets"))).alias("variants"))
+    # Maps have no order, so steps are ordered by their place alone.
+    step = F.struct("pos", "which", F.col("effect_id").alias("effect"), F.to_json("params").alias("params"))
+    steps = chain.groupBy("preset_id").agg(F.array_sort(F.collect_list(step)).alias("chain"))
+    pre = presets.join(steps, "preset_id", "left").join(var, "preset_id", "left")
+    body = F.struct(F.col("preset_id").alias("id"), "name", "family", "era", "tags", "chain", "variants")
+    return eff.unionByName(pre.select(F.lit("preset").alias("kind"), F.col("preset_id").alias("id"), F.to_json(body).alias("document")))
+
+
+def read_nested(docs: DataFrame) -> dict[str, DataFrame]:
+    """Flat tables of (kind, id, document) rows: params, presets, chain, variants, overrides, and ``rejects`` with the reason.
+
+    Rejected are texts that are no such document, documents without an id or under another's, and effects with a parameter that has no name or no known kind.
+    """
+    param = "STRUCT<pos: INT, name: STRING, kind: STRING, default: STRING, lo: DOUBLE, hi: DOUBLE, choices: ARRAY<STRING>, iscale: BOOLEAN>"
+    variant = "STRUCT<id: STRING, name: STRING, sets: ARRAY<STRUCT<which: STRING, path: STRING, value: STRING>>>"
+    step = "STRUCT<pos: BIGINT, which: STRING, effect: STRING, params: STRING>"
+    kind = f"id STRING, name STRING, family STRING, era STRING, tags ARRAY<STRING>, params ARRAY<{param}>, chain ARRAY<{step}>, variants ARRAY<{variant}>, _corrupt STRING"
+    read = docs.withColumn("d", F.from_json("document", kind, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    odd = F.exists(F.coalesce("d.params", F.array()), lambda p: p["name"].isNull() | ~F.coalesce(p["kind"].isin("bool", "int", "float", "enum", "str"), F.lit(False)))
+    error = F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "not a document").when(F.col("d.id").isNull(), "no id").when(F.col("d.id") != F.col("id"), "another id").when(
+        ~F.col("kind").isin("effect", "preset"), "unknown kind").when(odd, "bad parameter")
+    read = materialize(read.withColumn("error", error), "catalog-read")
+    eff, pre = (read.filter(F.col("error").isNull() & (F.col("kind") == k)).select("d.*") for k in ("effect", "preset"))
+    params = eff.select(F.col("id").alias("effect_id"), F.explode("params").alias("p")).select("effect_id", "p.pos", F.col("p.name").alias("param"), "p.kind", F.col("p.default").alias("default_value"), "p.lo", "p.hi", "p.choices", "p.iscale")
+    chain = pre.select(F.col("id").alias("preset_id"), F.explode("chain").alias("s")).select("preset_id", "s.which", "s.pos", F.col("s.effect").alias("effect_id"), F.from_json("s.params", "MAP<STRING, STRING>").alias("params"))
+    variants = pre.select(F.col("id").alias("preset_id"), F.explode("variants").alias("v"))
+    sets = variants.select("preset_id", F.col("v.id").alias("variant_id"), F.explode("v.sets").alias("s"))
+    return {
+        "params": params, "presets": pre.select(F.col("id").alias("preset_id"), "name", "family", "era", "tags"), "chain": chain,
+        "variants": variants.select("preset_id", F.col("v.id").alias("variant_id"), "v.name"), "overrides": sets.select("preset_id", "variant_id", "s.which", "s.path", "s.value"),
+        "rejects": read.filter("error IS NOT NULL").select("kind", "id", "error"),
+    }
