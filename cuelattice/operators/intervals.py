@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuelattice.functions.scalars import edge_profile
 from cuelattice.operators.series import index_rows, running_sum, with_block
+from cuelattice.session import spread
 
 # Longest list of frames that one row is expanded to at a time.
 PIECE = 1 << 14
@@ -18,9 +19,14 @@ def on_grid(intervals: DataFrame, frame: str = "frame", k: str = "k") -> DataFra
 
 
 def expand(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
-    """One row per whole number from ``first`` to ``last`` (not below it), in bounded pieces so that no long list is built."""
-    df = df.withColumn("_from", F.explode(F.sequence(first, last, F.lit(PIECE).cast("long")))).withColumn("_to", F.least(F.col("_from") + (PIECE - 1), last))
-    return df.withColumn(name, F.explode(F.sequence(F.col("_from"), F.col("_to")))).drop("_from", "_to")
+    """One row per whole number from ``first`` to ``last`` (not below it).
+
+    Spans longer than a piece are cut into pieces, and the pieces are dealt to all tasks before they are expanded, so neither a list nor a task grows with a span.
+    """
+    piece = F.lit(PIECE).cast("long")
+    short = df.filter(last - first < piece).withColumn(name, F.explode(F.sequence(first, last)))
+    cut = df.filter(last - first >= piece).withColumn("_from", F.explode(F.sequence(first, last, piece))).withColumn("_to", F.least(F.col("_from") + (PIECE - 1), last))
+    return short.unionByName(spread(cut, "_from").withColumn(name, F.explode(F.sequence(F.col("_from"), F.col("_to")))).drop("_from", "_to"))
 
 
 def strongest(cells: DataFrame, keys: list[str], level: str, attrs: list[str], tie: list[str]) -> DataFrame:
@@ -46,7 +52,7 @@ def active_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     found twice.
     """
     cut = lambda c: F.floor(c / F.lit(bucket)).cast("long")
-    iv = intervals.filter("dur > 0").withColumn("_bk", F.explode(F.sequence(cut(F.col("start")), cut(F.col("start") + F.col("dur") - 1))))
+    iv = expand(intervals.filter("dur > 0"), cut(F.col("start")), cut(F.col("start") + F.col("dur") - 1), "_bk")
     pts = points.withColumn("_bk", cut(F.col(at)))
     return pts.join(iv, [*keys, "_bk"]).filter(
         (F.col(at) >= F.col("start")) & (F.col(at) < F.col("start") + F.col("dur"))

@@ -106,6 +106,21 @@ def test_streams_in_twenty_batches_read_their_own_rows_and_let_state_go(spark, t
     assert len(held) >= 20 and max(held) <= 8 < sum(len(part) for part in progress)
 
 
+# ── intervals ───────────────────────────────────────────────────────────
+
+def test_an_interval_of_ten_million_frames_spreads_over_tasks(spark):
+    from cuelattice.operators import intervals as iv
+
+    spans = spark.createDataFrame([(1, 5, 10_000_000), (1, 100, 3), (2, 0, 1), (2, 7, 0)], "clip_id LONG, start LONG, dur LONG")
+    cells = iv.on_grid(spans).withColumn("p", F.spark_partition_id())
+    n, low, high = cells.filter("dur = 10000000").agg(F.count("*"), F.min("frame"), F.max("frame")).first()
+    assert (n, low, high) == (10_000_000, 5, 10_000_004) and cells.filter("dur < 10").count() == 4
+    assert cells.filter("dur = 10000000").groupBy("p").count().agg(F.max("count")).first()[0] < 4_000_000
+    points = spark.createDataFrame([(1, 9_999_999), (1, 101), (1, 4), (2, 7)], "clip_id LONG, at LONG")
+    got = iv.active_at(points, spans, ["clip_id"], "at", 32).select("at", "start").collect()
+    assert sorted(map(tuple, got)) == [(101, 5), (101, 100), (9_999_999, 5)]
+
+
 # ── text ────────────────────────────────────────────────────────────────
 
 def slack(lines, width):
