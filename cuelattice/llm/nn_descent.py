@@ -54,12 +54,12 @@ class Graph:
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and vec of the rows that take part."""
+    """id and vec of the rows that take part; an id with several vectors has the least of them, whoever asks."""
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = rows.filter(fine)
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("vec") == (common["d"] if common else 0)).dropDuplicates(["id"])
+    return rows.filter(F.size("vec") == (common["d"] if common else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def collapse(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

@@ -343,6 +343,51 @@ def test_sketch(spark, docs, none):
     assert scaled_sketch.edited_pairs(none).count() == 0
 
 
+def test_sketch_against_brute_force(spark, docs):
+    rows = sorted({d: t or "" for d, t in texts() if d is not None}.items())
+    edited = [(d, t[: len(t) - len(t) // 4] + rows[(k + 1) % len(rows)][1][: len(t) // 4]) for k, (d, t) in enumerate(rows)]
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    shingles = {tuple(w[i : i + 5]) for _, t in rows + edited if (w := split(t)) for i in range(max(len(w) - 4, 1))}
+    five = spark.createDataFrame([s for s in shingles if len(s) == 5], "a string, b string, c string, d string, e string").select(F.array("a", "b", "c", "d", "e"), F.xxhash64("a", "b", "c", "d", "e"))
+    less = spark.createDataFrame([(list(s),) for s in shingles if len(s) < 5], "w array<string>").select("w", F.xxhash64(F.array_join("w", " ")))
+    h = {tuple(r[0]): r[1] for r in [*five.collect(), *less.collect()]}
+    limit = -(1 << 63) + (1 << 63)
+
+    def sketch(t):
+        w = split(t)
+        return sorted({x for i in range(max(len(w) - 4, 1)) if w and (x := h[tuple(w[i : i + 5])]) < limit})
+
+    def like(a, b, same):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else float(same)
+
+    got = {r["doc_id"]: r for r in scaled_sketch.edited_pairs(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), rows_a_bin=8).collect()}
+    as_text = lambda s: "".join(f"{x & (2**64 - 1):016x}" for x in s)
+    for k, ((d, t), (_, e)) in enumerate(zip(rows, edited)):
+        nxt = rows[(k + 1) % len(rows)][1]
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (as_text(sketch(t)), as_text(sketch(e)))
+        assert abs(got[d]["near_edited"] - like(sketch(t), sketch(e), t == e)) < 1e-12 and abs(got[d]["near_next"] - like(sketch(t), sketch(nxt), t == nxt)) < 1e-12
+
+
+def test_nearest_with_repeated_ids_and_ties(spark):
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.standard_normal((300, 8)), 1)
+    x[50:60] = x[40]  # ties
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    # Some ids twice, once with another vector; the least vector counts.
+    more = [(i, [9.0, *[0.0] * 7]) for i in (0, 20, 33)] + rows[100:110]
+    kept = {i: min(v for j, v in rows + more if j == i) for i in range(300)}
+    y = np.array([kept[i] for i in range(300)])
+    got = nn_descent.nearest(spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").repartition(3)).collect()
+    hits = 0
+    for q in range(0, 300, 20):
+        s = (y * y[q]).sum(axis=1)
+        s[q] = -np.inf
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert len(mine) == 20 and [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        hits += len(set(np.lexsort((np.arange(300), -s))[:20].tolist()) & {r["vec_id"] for r in mine})
+    assert hits >= 0.95 * 15 * 20
+
+
 def test_sketch_estimates(spark):
     long = [f"v{i}" for i in range(4000)]
     df = spark.createDataFrame([(long[:400], long, long[200:600])], "a array<string>, b array<string>, c array<string>")
