@@ -14,15 +14,21 @@ def nearest(rows: DataFrame, row: str, vec: str, codebook: DataFrame, code: str,
     """``(row, code, distance)``: smallest weighted squared distance, lower code on a tie.
 
     The codebook is written first, so its true size is known and Spark itself decides whether it
-    may be broadcast. A codebook of several chunks fans a row out once per chunk and keeps the best.
+    may be broadcast. A codebook of several chunks fans a row out once per chunk and keeps the best. Where chunks are joined by shuffle, each is copied to several
+    salts, so that a chunk's rows, which are all rows, fill as many tasks as there are.
     """
     packed = codebook.withColumn("chunk", F.floor(F.col(code) / F.lit(CHUNK)).cast("long")).groupBy("chunk").agg(
         F.collect_list(F.struct(F.col(code).alias("code"), F.col(entry).alias("e"))).alias("codes")
     )
     packed = materialize(packed, "codebook")
     last = packed.agg(F.max("chunk")).first()[0]
-    spread = rows.select(row, vec).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    spread = spread.join(packed, "chunk")
+    if last is None:
+        return rows.limit(0).select(row, F.lit(None).cast(codebook.schema[code].dataType).alias(code), F.lit(None).cast("double").alias("distance"))
+    salts = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (last + 1)))
+    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    spread = rows.select(row, vec).withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)))
+    spread = spread.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    spread = spread.join(packed, ["chunk", "salt"])
     w = weights if weights is not None else F.lit(None)
 
     def dist(e: Column) -> Column:
