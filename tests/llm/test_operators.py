@@ -480,6 +480,30 @@ def test_quality(spark, docs, none):
     assert zstd_quality.score(none, model).count() == 0
 
 
+def test_quality_features_and_held_out_order(spark):
+    import zstandard as z
+
+    rnd = random.Random(11)
+    good, bad = ([f"{a}{b}" for a in x for b in ("ing", "ly", "tion", "er")] for x in (("walk", "quiet", "sta", "riv"), ("win", "ca$h", "cl1ck", "fr33")))
+    rows = [(i, " ".join(rnd.choice(good if (i % 2) ^ (rnd.random() < 0.15) else bad) for _ in range(rnd.randint(20, 400)))) for i in range(600)] + [(600, ""), (601, None), (602, "x" * 70000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.filter("doc_id < 600").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = zstd_quality.fit(docs.filter("doc_id % 5 != 0"), labels)
+    got = {r["doc_id"]: r for r in zstd_quality.score(docs, model).collect()}
+    dicts = [z.ZstdCompressionDict(d) for d in (model.good, model.bad)]
+    for d in dicts:
+        d.precompute_compress(level=zstd_quality.LEVEL)
+    makers = [z.ZstdCompressor(level=zstd_quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in dicts]
+    for d, t in rows:
+        raw = (t or "").encode()
+        g, b = (sum(len(m.compress(raw[i : i + zstd_quality.SLICE])) for i in range(0, len(raw), zstd_quality.SLICE)) for m in makers)
+        x = (b - g) / len(raw) if raw else 0.0
+        assert abs(got[d]["feature"] - x) < 1e-12 and abs(got[d]["score"] - np.interp(x, model.xs, model.ps)) < 1e-12
+    held = [(got[d]["score"], d % 2) for d in range(0, 600, 5)]
+    pairs = [(a, b) for a, y in held for b, w in held if y > w]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a, b in pairs]) > 0.75  # one text in seven is labelled wrongly on purpose
+
+
 def test_quality_learns_from_the_ends_of_long_texts(spark):
     rnd = random.Random(4)
     rows = [(i, "".join(rnd.choice("abcdefghij ") for _ in range(20000)) + f" what marks label {i % 2} comes late" * 400) for i in range(24)]
