@@ -143,10 +143,12 @@ SCHEDULES = {
 TYPES = {"intensity": "double", "x": "long", "row": "long", "length": "long", "rows": "long", "dark": "boolean", "band_pos": "double", "band_height": "double", "text": "string"}
 
 
-def seeded_events(layers: DataFrame, grid: DataFrame, levels: DataFrame) -> DataFrame:
-    """All schedules' events with their stable ids ``effect:kind:frame:n``; each schedule sees the layers whose dial is above zero."""
+def seeded_events(layers: DataFrame, grid: DataFrame, levels: DataFrame, kinds: set[str] | None = None) -> DataFrame:
+    """All schedules' events (or those of some ``kinds``) with their stable ids ``effect:kind:frame:n``; each schedule sees the layers whose dial is above zero."""
     out = None
     for (effect, kind), s in SCHEDULES.items():
+        if kinds is not None and kind not in kinds:
+            continue
         rows = s.rows(grid.filter(F.col(s.dial) > 0), levels)
         event_id = F.concat_ws(":", F.lit(effect), F.lit(kind), F.col("frame").cast("string"), F.col("i").cast("string"))
         fields = [F.col(f).cast(t).alias(f) if f in rows.columns else F.lit(None).cast(t).alias(f) for f, t in TYPES.items()]
@@ -194,34 +196,41 @@ def edit_ops(spark: SparkSession, d: str, layers: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class DamagePlan:
+class Seeded:
     layers: DataFrame
-    seeded: DataFrame
-    edited: DataFrame
+    levels: DataFrame
+    events: DataFrame
 
 
-def plan(spark: SparkSession, d: str) -> DamagePlan:
+def seeded_plan(spark: SparkSession, d: str, kinds: set[str] | None = None) -> Seeded:
+    """The layers, their storm levels, and what their schedules plan before any edit."""
     layers = dialled_layers(spark, d)
     grid = materialize(spine_of(layers), "tracks")
     levels = storm_levels(grid)
-    seeded = materialize(seeded_events(layers, grid, levels), "seeded")
+    return Seeded(layers, levels, materialize(seeded_events(layers, grid, levels, kinds), "seeded"))
+
+
+def edited_events(spark: SparkSession, d: str, p: Seeded, kinds: set[str] | None = None) -> DataFrame:
+    """The plan after the layers' edits, of all ``kinds`` or some."""
 
     def curves(asked: DataFrame) -> DataFrame:
         start = F.element_at(F.split("id", ":"), 3).cast("long")
         cells = asked.select(*K, "id", "frames", start.alias("_start")).withColumn("idx", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("frames") - 1)))
-        met = cells.join(levels.select(*K, "idx", "level"), [*K, "idx"])
+        met = cells.join(p.levels.select(*K, "idx", "level"), [*K, "idx"])
         ordered = F.array_sort(F.collect_list(F.struct("idx", "level")))
         return met.groupBy(*K, "id").agg(F.transform(ordered, lambda s: s["level"]).alias("curve"))
 
-    return DamagePlan(layers, seeded, apply_edits(seeded, materialize(edit_ops(spark, d, layers), "edit-ops"), curves, K))
+    ops = edit_ops(spark, d, p.layers)
+    ops = ops if kinds is None else ops.filter(F.col("kind").isin(*kinds))
+    return apply_edits(p.events, materialize(ops, "edit-ops"), curves, K)
 
 
-def plan_table(p: DamagePlan, w0: float, w1: float) -> DataFrame:
+def plan_table(layers: DataFrame, events: DataFrame, w0: float, w1: float) -> DataFrame:
     """The rows of the plan inside a window, in (t, layer, effect) order, and a header row per job: frames of its clip, start and length of the window."""
     t, dur = F.col("frame") / F.col("fps"), F.col("frames") / F.col("fps")
-    rows = p.edited.withColumn("t", F.round(t, 4)).withColumn("dur", F.round(dur, 4)).filter(overlaps(t, dur, F.lit(w0), F.lit(w1)))
+    rows = events.withColumn("t", F.round(t, 4)).withColumn("dur", F.round(dur, 4)).filter(overlaps(t, dur, F.lit(w0), F.lit(w1)))
     cols = ["clip_id", F.col("layer_pos").alias("layer"), "effect", "kind", "id", "t", "dur", "frames", "origin", "edited", *FIELDS]
-    head = p.layers.groupBy("clip_id").agg(F.max("n_frames").alias("frames"), F.count(F.lit(1)).alias("rows")).select(
+    head = layers.groupBy("clip_id").agg(F.max("n_frames").alias("frames"), F.count(F.lit(1)).alias("rows")).select(
         "clip_id", F.lit(-1).alias("layer"), F.lit("").alias("effect"), F.lit("header").alias("kind"), F.lit("").alias("id"), F.lit(w0).alias("t"), F.lit(w1 - w0).alias("dur"), "frames", "rows",
     )
     return rows.select(*cols).unionByName(head, allowMissingColumns=True).orderBy("t", "layer", "effect", "clip_id", "id")

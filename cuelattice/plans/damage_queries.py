@@ -130,7 +130,8 @@ def rounded(df: DataFrame) -> DataFrame:
 SELECT clip_id, layer, effect, kind, id, round(frame / {FPS}, 4) AS t, round(frames / {FPS}, 4) AS dur, frames, {ROW_SQL} FROM fin WHERE frame / {FPS} < {W1} AND (frame / {FPS}) + (frames / {FPS}) > {W0}
 UNION ALL SELECT clip_id, -1, '', 'header', '', {W0}, {W1 - W0}, any_value(n_frames), NULL, false, NULL, NULL, NULL, NULL, count(*), NULL, NULL, NULL, NULL FROM ly GROUP BY 1""")
 def layered_plan(spark, d):
-    return rounded(dp.plan_table(dp.plan(spark, d), W0, W1))
+    p = dp.seeded_plan(spark, d)
+    return rounded(dp.plan_table(p.layers, dp.edited_events(spark, d, p), W0, W1))
 
 
 @query("G8_dropout_geometry", f"WITH RECURSIVE {SEEDED_SQL} SELECT clip_id, layer, id, frame, x, row, length, rows, dark FROM sd WHERE kind = 'dropout'")
@@ -146,7 +147,8 @@ def dropout_geometry(spark, d):
 SELECT clip_id, layer, id, frame, frames, origin, edited, round(intensity, 6) AS intensity, round(list_sum(list_transform(seg, lambda v, j: v * j)), 6) AS moment FROM fin
 WHERE kind = 'tracking_storm' AND (origin = 'added' OR EXISTS (SELECT 1 FROM sn WHERE sn.clip_id = fin.clip_id AND sn.layer = fin.layer AND sn.id = fin.id))""")
 def tuned_storms(spark, d):
-    got = dp.plan(spark, d).edited.filter((F.col("kind") == STORM) & F.col("curve").isNotNull())
+    storms = {STORM}
+    got = dp.edited_events(spark, d, dp.seeded_plan(spark, d, storms), storms).filter(F.col("curve").isNotNull())
     weighed = F.transform("curve", lambda v, j: v * (j + 1))
     moment = F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v)
     return got.select("clip_id", F.col("layer_pos").alias("layer"), "id", "frame", "frames", "origin", "edited", F.round("intensity", 6).alias("intensity"), F.round(moment, 6).alias("moment"))
@@ -154,7 +156,7 @@ def tuned_storms(spark, d):
 
 @query("U3_layered_events", f"WITH RECURSIVE {SEEDED_SQL} SELECT clip_id, layer, effect, kind, id, frame, frames FROM sd")
 def layered_events(spark, d):
-    rows = dp.plan(spark, d).seeded
+    rows = dp.seeded_plan(spark, d).events
     return rows.select("clip_id", F.col("layer_pos").alias("layer"), "effect", "kind", "id", "frame", "frames")
 
 
