@@ -27,12 +27,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*[F.coalesce(F.when(F.col("n_removed") > 0, changed[c]), F.col(f"row.{c}")).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+NEAR_KEY = "near-dedup key"
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and one row of a repeated one. A document is its id (or none) and its text, so different texts with one id are told apart,
-    and copies without an id are found."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    gone = superminhash.near_duplicates(keyed, key="_key").filter(~F.col("kept")).select("_key").distinct()
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
+    """One document of each group stays, the one with the least id where ids tell documents apart, and one row of a repeated one. A document without an id, or whose id
+    other texts have too, goes by a hash of id and text instead."""
+    th = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    shared = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(th).alias("lo"), F.max(th).alias("hi")).filter("lo != hi")
+    # Written: mostly it is empty, and the planner should know.
+    shared = materialize(shared.select(F.col("doc_id").alias("shared id")), "pipeline-shared-ids")
+    met = docs.join(shared, F.col("doc_id") == F.col("shared id"), "left")
+    keyed = met.withColumn(NEAR_KEY, F.when(F.col("doc_id").isNull() | F.col("shared id").isNotNull(), th).otherwise(F.col("doc_id").cast("long"))).drop("shared id")
+    gone = superminhash.near_duplicates(keyed, key=NEAR_KEY).filter(~F.col("kept")).select(NEAR_KEY).distinct()
+    return keyed.join(gone, NEAR_KEY, "left_anti").dropDuplicates([NEAR_KEY]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
