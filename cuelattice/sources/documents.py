@@ -227,7 +227,8 @@ def full_report(presets: DataFrame, variants: DataFrame, steps: DataFrame, autho
         out = out.unionByName(line(own, rank + 1, text, F.col("pos")))
     counted = place.join(steps.join(knobs, "effect_id").groupBy("preset_id").agg(F.sum("n").alias("_k")), "preset_id", "left")
     out = out.unionByName(line(counted, 9, F.concat(F.lit("*"), F.coalesce("_k", F.lit(0)).cast("string"), F.lit(" adjustable parameters in this preset.*"))))
-    totals = presets.agg(F.count(F.lit(1)).alias("p")).join(variants.agg(F.count(F.lit(1)).alias("v")), F.lit(True))
+    zero = F.lit(0).cast("long")
+    totals = presets.agg(F.count(F.lit(1)).alias("p"), zero.alias("v")).unionByName(variants.agg(zero.alias("p"), F.count(F.lit(1)).alias("v"))).agg(F.sum("p").alias("p"), F.sum("v").alias("v"))
     head = totals.select(F.explode(F.array(
         F.struct(F.lit(0).alias("pos"), F.lit(f"# {title}").alias("line")), F.struct(F.lit(1).alias("pos"), F.concat(F.lit("**"), F.col("p").cast("string"), F.lit(" presets, "), F.col("v").cast("string"), F.lit(" variants.**")).alias("line")),
     )).alias("l")).select(F.lit("").alias("family"), F.lit("").alias("preset_id"), F.lit(0).alias("rank"), F.col("l.pos").cast("long").alias("pos"), "l.line")
