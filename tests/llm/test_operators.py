@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,11 +414,77 @@ def test_class_model(spark, docs, none):
     total = (10 ** model.log_transition).sum(axis=1) + model.unseen
     assert np.allclose(total, 1)
     assert model.likelihoods[-1] >= model.likelihoods[0]
+    assert model.bigrams.sum() == n
     empty = class_lm.fit(none)
     assert {r["score"] for r in class_lm.score(docs.filter("doc_id = 3"), empty).collect()} == {0.0}
     assert class_lm.score(none, model).count() == 0
 
 
+def test_class_model_follows_every_word(spark, monkeypatch):
+    """Rare words, joined ones and unknown ones: bigrams and scores by the word just before, by brute force."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) if x < 5000)) for i in range(60)]
+    rows += [(i, "new words here w1 w2 unseen w3") for i in (60, 61, 61)] + [(62, None), (None, "w1 w1 odd odd"), (None, "w1 w1 odd odd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = docs.filter("doc_id < 50")
+    monkeypatch.setattr(class_lm, "CLUSTERED", 2.0**-7)
+    monkeypatch.setattr(class_lm, "LOOKED_UP", 2.0**-6)
+    model = class_lm.fit(train, classes=4)
+    assert model.rest.count() > len(model.known.hashes) > 2
+
+    def hashed(t):
+        return class_lm.word_hashes(*class_lm.text_buffer(pa.array([t], pa.string())))[0].tolist()
+
+    table = {int(h): (int(v) >> 6, int(v) & 63) for h, v in zip(model.known.hashes, model.known.values)}
+    table.update({r["w"] & (2**64 - 1): (r["c"], r["cls"]) for r in model.rest.collect()})
+    start, unknown = 4, 5
+    bigrams, tokens = np.zeros((5, 5)), Counter()
+    for i, t in rows:
+        if i is not None and i < 50:
+            before = start
+            for h in [*hashed(t), int(class_lm.END)]:
+                bigrams[before, table[h][1]] += 1
+                before = table[h][1]
+                tokens[h] += 1
+    assert np.array_equal(bigrams, model.bigrams)
+    assert {h: c for h, (c, _) in table.items()} == dict(tokens)
+    share = (bigrams.sum(axis=0) + 1) / (bigrams.sum() + 5)
+    want = Counter()
+    for i, t in rows:
+        before, total = start, 0.0
+        for h in [*hashed(t), int(class_lm.END)]:
+            if h in table:
+                c, own = table[h]
+                p = share[own] if before == unknown else (bigrams[before, own] + class_lm.SMOOTH * share[own]) / (bigrams[before].sum() + class_lm.SMOOTH)
+                total += np.log10((1 - model.unseen) * p * c / bigrams[:, own].sum())
+                before = own
+            else:
+                total += np.log10(model.unseen)
+                before = unknown
+        want[i, round(total, 6)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in class_lm.score(docs, model).collect()) == want
+
+
+def test_exchange_step_of_rare_words():
+    """The step takes both sides on their own, as the rounds do, and so comes near the best likelihood of the whole table."""
+    rng = np.random.default_rng(9)
+    table = rng.integers(1, 40, (6, 6)).astype(float)
+    starts, before, after, n = np.array([0, 3, 4]), rng.integers(0, 6, 9), rng.integers(0, 6, 9), rng.integers(1, 9, 9)
+
+    def likelihood(t):
+        return (t * np.log(t)).sum() - (t.sum(axis=1) * np.log(t.sum(axis=1))).sum() - (t.sum(axis=0) * np.log(t.sum(axis=0))).sum()
+
+    for i, (lo, hi) in enumerate(zip(starts, [3, 4, 9])):
+        values = []
+        for to in range(5):
+            t = table.copy()
+            np.add.at(t, (before[lo:hi], to), n[lo:hi])
+            np.add.at(t, (to, after[lo:hi]), n[lo:hi])
+            values.append(likelihood(t))
+        got = class_lm.best_classes(starts, before, after, n, table)[i]
+        assert values[got] >= max(values) - 0.5
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for d, t in rows:
